@@ -27,11 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+    """A fresh path in this application's part of the shared folder, which goes when the application ends."""
+    top = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(top)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(jpath):
+        files.mkdirs(jpath)
+        files.deleteOnExit(jpath)
+    return f"{top}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

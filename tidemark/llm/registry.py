@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, token_store
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every document to shards and reads them back."""
+    shards, _ = token_store.token_store(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_shards(shards)
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and decoded text."""
