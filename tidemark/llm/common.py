@@ -86,5 +86,9 @@ def arrow_type(schema: str, name: str) -> pa.DataType:
     return next(_ARROW[x.strip().split()[1]] for x in schema.split(",") if x.strip().split()[0] == name)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_store
-from .common import documents
+from . import bpe, nbsvm, simhash, token_store
+from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for those that SQL can express.
@@ -21,6 +21,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows with crc32(doc_id) mod 5 = 0 are never learned from."""
+    docs = documents(spark, sf_dir)
+    found = nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(nbsvm.remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
