@@ -18,6 +18,7 @@ stay together, ordered by text, and a key gives all of them.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from array import array
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, new_path, slices, stored
 
 MAGIC = b"TIDEIDS1"
-CACHED, CACHED_CHARS = 500_000, 64
+CACHED, CACHED_CHARS = 700_000, 64
 #: Bits of a level of the hash for each key that is left.
 GAMMA = 2.0
 
@@ -46,6 +47,7 @@ class ShardEncoder:
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,49 +61,64 @@ class ShardEncoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.end = array(self.code, [end_id]).tobytes()
-        self.units: dict[str, bytes] = {}
+        self.closing = dict(zip(",.", self.library([",", "."]), strict=True))
+        self.line_end = self.library(["\n"])[0]
+        self.newline = int(np.frombuffer(self.line_end, f"<u{self.width}")[0])
         self.chunks: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words of letters, each behind lead (a space or nothing): many in one call, a newline between two."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + f"\n{lead}".join(part)], add_special_tokens=False)[0].ids, self.code)
+            cuts = (np.flatnonzero(ids == self.newline) * self.width).tolist()
+            raw, starts = ids.tobytes(), [0, *(c + self.width for c in cuts)]
+            if len(starts) != len(part):
+                return self.library([lead + w for w in words])
+            out += [raw[a:b] for a, b in zip(starts, [*cuts, len(raw)], strict=True)]
+        return out
+
     def plain(self, text: str) -> bool:
         """No two white spaces in a row, none but space and newline, no special token."""
         return self.by_chunk and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable() and not any(m in text for m in self.marks)
 
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, ...]:
-        """Pieces of a chunk that are encoded apart: the newline, a word of letters, a closing mark."""
-        lead, body = ("\n", chunk[1:]) if chunk[:1] == "\n" else ("", chunk)
-        if body.isalpha():
-            return ("\n", body) if lead else (" " + body,)
-        if body[-1:] in (",", ".") and body[:-1].isalpha():
-            return ("\n", body[:-1], body[-1]) if lead else (" " + body[:-1], body[-1])
-        return (chunk if lead else " " + chunk,)
-
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Encodes chunks that the cache lacks."""
-        if len(self.units) >= CACHED:
-            self.units.clear()
-        plans = {c: self.parts(c) for c in chunks}
-        new = list({u for p in plans.values() for u in p} - self.units.keys())
-        units = dict(zip(new, self.library(new), strict=True))
-        self.units.update((u, b) for u, b in units.items() if len(u) <= CACHED_CHARS)
-        get = lambda u: units.get(u) or self.units.get(u, b"")
-        return {c: b"".join(map(get, p)) for c, p in plans.items()}
+        """Ids of chunks that the cache lacks, and of the words inside them.
+
+        A chunk stands behind a space unless it begins with a newline. A word of letters, alone or with a
+        comma or a full stop after it, is a word of its own to the vocabulary; anything else goes to the library.
+        """
+        alpha = {c for c in chunks if c.isalpha()}
+        closed = [c for c in chunks if c[-1:] in self.closing and c[:-1].isalpha()]
+        lines = [c for c in chunks if c[:1] == "\n" and c[1:].isalpha()]
+        rest = list(chunks.difference(alpha, closed, lines))
+        alpha.update(c[:-1] for c in closed)
+        new = list(alpha - self.chunks.keys())
+        out = dict(zip(new, self.words(new, " "), strict=True))
+        known = self.chunks
+        for c in closed:
+            w = c[:-1]
+            out[c] = (out[w] if w in out else known[w]) + self.closing[c[-1]]
+        out.update(zip(lines, map(self.line_end.__add__, self.words([c[1:] for c in lines], "")), strict=True))
+        out.update(zip(rest, self.library([c if c[:1] == "\n" else " " + c for c in rest]), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids and the end id."""
         split = [t.replace("\n", " \n").split(" ") if self.plain(t) else None for t in texts]
         heads = [x.pop(0) if x else "" for x in split]
-        seen = {c for x in split if x for c in x}
+        seen = set().union(*filter(None, split))
         missing = seen - self.chunks.keys()
         if len(self.chunks) + len(missing) > CACHED:
             self.chunks.clear()
             missing = seen
         learnt, known = self.learn(missing), self.chunks
-        known.update((c, b) for c, b in learnt.items() if len(c) <= CACHED_CHARS)
-        long = {c: b for c, b in learnt.items() if len(c) > CACHED_CHARS}
+        long = {c: learnt.pop(c) for c in [c for c in learnt if len(c) > CACHED_CHARS]}
+        known.update(learnt)
         whole = iter(self.library([t for t, x in zip(texts, split, strict=True) if x is None]))
         first = iter(self.library([h for h, x in zip(heads, split, strict=True) if x is not None]))
         out = []
