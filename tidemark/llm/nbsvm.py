@@ -194,16 +194,16 @@ def remainder(id_col: str, mod: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def training_ids(labels: DataFrame, target: str, learn: F.Column, limit: int) -> DataFrame:
-    """doc_id and label y of the rows to learn from: at most limit of each class, by the least hash."""
+def training_ids(labels: DataFrame, target: str, learn: F.Column, limits: tuple[int, int]) -> DataFrame:
+    """doc_id and label y of the rows to learn from: at most limits[y] of each class, by the least hash."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).filter(learn).groupBy("doc_id").agg(F.min("y").alias("y"))
-    part = lambda y: rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    part = lambda y: rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits[y])
     return part(0).unionAll(part(1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int = 5, held_out: int = 0, limit: int = TRAIN_ROWS) -> Model:
     """Learns from the labelled documents whose crc32(doc_id) mod `mod` is not held_out; at most limit of each class."""
-    ids = training_ids(labels, target, remainder("doc_id", mod) != held_out, limit)
+    ids = training_ids(labels, target, remainder("doc_id", mod) != held_out, (limit, limit))
     texts = keyed_texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * limit ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

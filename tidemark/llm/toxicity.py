@@ -172,7 +172,7 @@ def learn(toxic: list[list[str]], clean: list[list[str]], ratio: float = RATIO)
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 3, held_out: int = 1) -> dict[str, float]:
     """Learns the lexicon from documents whose crc32(doc_id) mod `mod` is not held_out."""
-    ids = training_ids(labels, target, remainder("doc_id", mod) != held_out, max(TOXIC_ROWS, CLEAN_ROWS))
+    ids = training_ids(labels, target, remainder("doc_id", mod) != held_out, (CLEAN_ROWS, TOXIC_ROWS))
     texts = keyed_texts(docs).join(F.broadcast(ids), "doc_id")  # of bounded size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 3,
 
     got = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<string>").toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("y").to_pylist(), got.column("words"), strict=True), key=lambda r: r[0])
-    toxic = [r[2].as_py() for r in rows if r[1]][:TOXIC_ROWS]
-    clean = [r[2].as_py() for r in rows if not r[1]][:CLEAN_ROWS]
+    toxic = [r[2].as_py() for r in rows if r[1]]
+    clean = [r[2].as_py() for r in rows if not r[1]]
     return learn(toxic, clean)
 
 
