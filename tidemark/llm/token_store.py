@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, new_path, slices, stored
 
 MAGIC = b"TIDEIDS1"
-CACHED, CACHED_CHARS = 700_000, 64
+#: Cached chunks of one worker, in each of two halves; a longer chunk is never cached.
+CACHED, CACHED_CHARS = 500_000, 64
 #: Bits of a level of the hash for each key that is left.
 GAMMA = 2.0
 
@@ -65,6 +66,7 @@ class ShardEncoder:
         self.line_end = self.library(["\n"])[0]
         self.newline = int(np.frombuffer(self.line_end, f"<u{self.width}")[0])
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,14 +94,16 @@ class ShardEncoder:
         A chunk stands behind a space unless it begins with a newline. A word of letters, alone or with a
         comma or a full stop after it, is a word of its own to the vocabulary; anything else goes to the library.
         """
+        out = {c: self.older[c] for c in chunks & self.older.keys()}
+        chunks = chunks - out.keys()
         alpha = {c for c in chunks if c.isalpha()}
         closed = [c for c in chunks if c[-1:] in self.closing and c[:-1].isalpha()]
         lines = [c for c in chunks if c[:1] == "\n" and c[1:].isalpha()]
         rest = list(chunks.difference(alpha, closed, lines))
         alpha.update(c[:-1] for c in closed)
-        new = list(alpha - self.chunks.keys())
-        out = dict(zip(new, self.words(new, " "), strict=True))
         known = self.chunks
+        new = list(alpha - known.keys() - out.keys())
+        out.update(zip(new, self.words(new, " "), strict=True))
         for c in closed:
             w = c[:-1]
             out[c] = (out[w] if w in out else known[w]) + self.closing[c[-1]]
@@ -113,8 +117,8 @@ class ShardEncoder:
         heads = [x.pop(0) if x else "" for x in split]
         seen = set().union(*filter(None, split))
         missing = seen - self.chunks.keys()
-        if len(self.chunks) + len(missing) > CACHED:
-            self.chunks.clear()
+        if len(self.chunks) + len(missing) > CACHED:  # what is still in use comes back from the older half
+            self.older, self.chunks = self.chunks, {}
             missing = seen
         learnt, known = self.learn(missing), self.chunks
         long = {c: learnt.pop(c) for c in [c for c in learnt if len(c) > CACHED_CHARS]}
@@ -271,7 +275,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_co
         name, own = f"{place}/shard-{shard:06d}.ids", f"{place}/.shard-{shard:06d}-{uuid.uuid4().hex}"
         out = writer = None
         for batch in batches:
-            for part in slices(batch, 512):
+            for part in slices(batch):
                 if writer is None:
                     code = encoder(path, end_id)
                     system.create_dir(place, recursive=True)
