@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, nbsvm, simhash, token_store, toxicity
+from . import ann, bpe, chat_format, decontaminate, nbsvm, simhash, token_store, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it."""
+    return decontaminate.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every row whose vec_id is divisible by 20."""
