@@ -192,7 +192,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             li, pt, kind, idc = (batch.column(i).to_numpy() for i in range(4))
             x = matrix(batch.column(4))
             cuts = np.flatnonzero((li[1:] != li[:-1]) | (pt[1:] != pt[:-1]) | (kind[1:] != kind[:-1])) + 1
-            out: list[tuple[int, list]] = []
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(li)], strict=True):
                 if (li[a], pt[a]) != key:
                     key, ids, block = (li[a], pt[a]), [], []
@@ -203,19 +203,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     ids, block = [np.concatenate(ids)], [np.concatenate(block)]
                     for at in range(a, b, 256):
                         out += nearest(idc[at : min(b, at + 256)], x[at : min(b, at + 256)], ids[0], block[0], k)
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array([r for _, r in out], FOUND)], names=["query_id", "found"])
+            ends = np.cumsum([0] + [len(r[1]) for r in out]).astype(np.int32)
+            flat = lambda c, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[c] for r in out]) if out else np.zeros(0), t))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), flat(1, pa.int64()), flat(2, pa.float64())], names=["query_id", "ids", "scores"])
 
-    best = met.mapInArrow(scan, "query_id long, found array<struct<far:double,vec_id:long>>")
-    merged = best.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))  # k for each list of a query
-    flat = merged.select("query_id", F.posexplode("found").alias("i", "x"))
-    return flat.select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
-
-
-FOUND = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
-
-
-def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int) -> Iterator[tuple[int, list]]:
-    """For each query the k best of one block: (query_id, [{far: minus the score, vec_id}]), ties to the smaller id."""
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each query's lists, which follow each other, the k best."""
+        last, ids, scores = None, [], []
+        for batch in batches:
+            out = []
+            for q, i, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if q != last:
+                    if ids:
+                        out.append((last, *best(ids, scores, k)))
+                    last, ids, scores = q, [], []
+                ids.append(i.values.to_numpy())
+                scores.append(s.values.to_numpy())
+            yield ranked(out)
+        if ids:
+            yield ranked([(last, *best(ids, scores, k))])
+
+    found = met.mapInArrow(scan, "query_id long, ids array<long>, scores array<double>")
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+
+
+def best(ids: list[np.ndarray], scores: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of several lists, each id once, ties to the smaller id."""
+    i, first = np.unique(np.concatenate(ids), return_index=True)
+    s = np.concatenate(scores)[first]
+    order = np.lexsort((i, -s))[:k]
+    return i[order], s[order]
+
+
+def ranked(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    empty = np.zeros(0)
+    sizes = [len(i) for _, i, _ in rows]
+    columns = [np.repeat([q for q, _, _ in rows], sizes) if rows else empty, np.concatenate([np.arange(1, n + 1) for n in sizes]) if rows else empty, np.concatenate([i for _, i, _ in rows]) if rows else empty, np.concatenate([s for _, _, s in rows]) if rows else empty]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "rank", "vec_id", "score"])
+
+
+def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the k best of one block: (query_id, ids, scores), ties to the smaller id."""
     scores = queries @ block.T
     for q, x, s in zip(query_ids.tolist(), queries, scores, strict=True):
         s[ids == q] = -np.inf
@@ -225,4 +254,4 @@ def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block:
             some = some[s[some] >= least - 1e-9 * (1 + abs(least))]
         exact = (block[some] * x).sum(axis=1)  # the same sum for the same pair wherever it stands
         order = np.lexsort((ids[some], -exact))[:k]
-        yield q, [{"far": -float(exact[i]), "vec_id": int(ids[some[i]])} for i in order]
+        yield q, ids[some[order]], exact[order]
