@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, decontaminate, nbsvm, simhash, token_store, toxicity
+from . import ann, bpe, chat_format, decontaminate, nbsvm, simhash, suffix_dedup, token_store, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(nbsvm.remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages take from every document, and the digest of what stays."""
+    return suffix_dedup.described(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 @query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every conversation, and of one whose texts hold control strings."""
