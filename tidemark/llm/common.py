@@ -5,13 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one numpy pass handles at once; longer texts are cut with an overlap.
-PASS_CHARS = 1 << 21
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
@@ -74,9 +73,19 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[list, list], dict[str
     return docs.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most so many rows and, but for single rows, bytes of strings."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(total)
+    at = 0
+    while at < batch.num_rows:
+        used = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, used + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}

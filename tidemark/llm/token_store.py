@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +37,8 @@ from .common import keyed_texts, new_path, slices, stored
 MAGIC = b"TIDEIDS1"
 #: Cached chunks of one worker, in each of two halves; a longer chunk is never cached.
 CACHED, CACHED_CHARS = 500_000, 64
+#: Characters that are encoded together.
+TOGETHER = 1 << 22
 #: Bits of a level of the hash for each key that is left.
 GAMMA = 2.0
 
@@ -64,6 +67,7 @@ class ShardEncoder:
         self.end = array(self.code, [end_id]).tobytes()
         self.closing = dict(zip(",.", self.library([",", "."]), strict=True))
         self.line_end = self.library(["\n"])[0]
+        self.leads = {"\n": self.line_end, "\0": b""}
         self.newline = int(np.frombuffer(self.line_end, f"<u{self.width}")[0])
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -91,14 +95,15 @@ class ShardEncoder:
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that the cache lacks, and of the words inside them.
 
-        A chunk stands behind a space unless it begins with a newline. A word of letters, alone or with a
-        comma or a full stop after it, is a word of its own to the vocabulary; anything else goes to the library.
+        A chunk stands behind a space unless it begins with a newline or with NUL, which marks the start of a text.
+        A word of letters, alone or with a comma or a full stop after it, is a word of its own to the
+        vocabulary; anything else goes to the library.
         """
         out = {c: self.older[c] for c in chunks & self.older.keys()}
         chunks = chunks - out.keys()
         alpha = {c for c in chunks if c.isalpha()}
         closed = [c for c in chunks if c[-1:] in self.closing and c[:-1].isalpha()]
-        lines = [c for c in chunks if c[:1] == "\n" and c[1:].isalpha()]
+        lines = [c for c in chunks if c[:1] in self.leads and c[1:].isalpha()]
         rest = list(chunks.difference(alpha, closed, lines))
         alpha.update(c[:-1] for c in closed)
         known = self.chunks
@@ -107,35 +112,63 @@ class ShardEncoder:
         for c in closed:
             w = c[:-1]
             out[c] = (out[w] if w in out else known[w]) + self.closing[c[-1]]
-        out.update(zip(lines, map(self.line_end.__add__, self.words([c[1:] for c in lines], "")), strict=True))
-        out.update(zip(rest, self.library([c if c[:1] == "\n" else " " + c for c in rest]), strict=True))
+        for c, ids in zip(lines, self.words([c[1:] for c in lines], ""), strict=True):
+            out[c] = self.leads[c[0]] + ids
+        out.update(zip(rest, self.library([c if c[:1] == "\n" else c[1:] if c[:1] == "\0" else " " + c for c in rest]), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids and the end id."""
-        split = [t.replace("\n", " \n").split(" ") if self.plain(t) else None for t in texts]
-        heads = [x.pop(0) if x else "" for x in split]
-        seen = set().union(*filter(None, split))
-        missing = seen - self.chunks.keys()
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
+        missing = set(chunks) - self.chunks.keys()
         if len(self.chunks) + len(missing) > CACHED:  # what is still in use comes back from the older half
             self.older, self.chunks = self.chunks, {}
-            missing = seen
-        learnt, known = self.learn(missing), self.chunks
+            missing = set(chunks)
+        learnt = self.learn(missing)
         long = {c: learnt.pop(c) for c in [c for c in learnt if len(c) > CACHED_CHARS]}
-        known.update(learnt)
-        whole = iter(self.library([t for t, x in zip(texts, split, strict=True) if x is None]))
-        first = iter(self.library([h for h, x in zip(heads, split, strict=True) if x is not None]))
-        out = []
-        for x in split:
-            if x is None:
-                out.append(next(whole) + self.end)
-            else:
-                try:
-                    body = b"".join(map(known.__getitem__, x))
-                except KeyError:
-                    body = b"".join(known[c] if c in known else long[c] for c in x)
-                out.append(next(first) + body + self.end)
-        return out
+        self.chunks.update(learnt)
+        return [long[c] if c in long else self.chunks[c] for c in chunks] if long else list(map(self.chunks.__getitem__, chunks))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids and the end id."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        plain = [self.plain(t) for t in texts]
+        whole = [i for i, p in enumerate(plain) if not p]
+        for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
+            out[i].append(ids)
+        owners, parts, used = [], [], 0
+        for i in (i for i, p in enumerate(plain) if p):
+            for part in pieces("\0" + texts[i].replace("\n", " \n")):
+                owners.append(i)
+                parts.append(part)
+                used += len(part)
+                if used >= TOGETHER:
+                    for k, ids in zip(owners, self.encode_parts(parts), strict=True):
+                        out[k].append(ids)
+                    owners, parts, used = [], [], 0
+        for k, ids in zip(owners, self.encode_parts(parts), strict=True):
+            out[k].append(ids)
+        return [b"".join([*x, self.end]) for x in out]
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of stretches of plain texts, by way of their different chunks."""
+        split = pc.split_pattern(pa.array(parts, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        at, ids = coded.indices.to_numpy(), self.ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.code)
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        raw = flat[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = (np.append(0, ends)[split.offsets.to_numpy()] * self.width).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A plain text cut at spaces into stretches of at most TOGETHER characters, where it has spaces."""
+    while len(text) > TOGETHER and (cut := text.rfind(" ", 1, TOGETHER)) > 0:
+        yield text[:cut]
+        text = text[cut + 1 :]
+    yield text
 
 
 _ENCODERS: dict[tuple, ShardEncoder] = {}
@@ -275,7 +308,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_co
         name, own = f"{place}/shard-{shard:06d}.ids", f"{place}/.shard-{shard:06d}-{uuid.uuid4().hex}"
         out = writer = None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2048):
                 if writer is None:
                     code = encoder(path, end_id)
                     system.create_dir(place, recursive=True)
