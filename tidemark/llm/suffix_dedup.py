@@ -42,7 +42,7 @@ DEPTH, KEY = 50, 20
 #: Different chunks of one key beyond which its suffixes are dealt one by one.
 HOT = 20_000
 #: Bytes of documents that one block packs together; of text for each bucket; of a text that one numpy pass hashes.
-BLOCK_BYTES, BUCKET_BYTES, STRETCH = 16 << 20, 32 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, STRETCH = 8 << 20, 8 << 20, 1 << 20
 NO_ID = (1 << 63) - 1
 U = np.uint64
 M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
