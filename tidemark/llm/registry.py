@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, decontaminate, nbsvm, simhash, suffix_dedup, token_store, toxicity
+from . import ann, bpe, chat_format, decontaminate, license_scan, nbsvm, simhash, suffix_dedup, token_store, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,41 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_shards(shards)
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document as a whole, and of its lines."""
+    found = license_scan.scan(documents(spark, sf_dir))
+    return found.select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", F.array_join("notices", ",").alias("notices"))
+
+
+def license_oracle() -> str:
+    """The scan in SQL: the same steps, written for DuckDB."""
+
+    def canonical(x: str) -> str:
+        x = f"regexp_replace(lower({x}), '{license_scan.COPYRIGHT}', '', 'g')"
+        for a, b in license_scan.SPELLINGS:
+            x = f"replace({x}, '{a}', '{b}')"
+        return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+
+    quoted = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in license_scan.known())
+    return f"""
+WITH given(license_id, text) AS (VALUES {quoted}),
+names AS (SELECT sha256({canonical("text")}) AS digest, min(license_id) AS license_id FROM given GROUP BY 1),
+docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+hits AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT doc_id, sha256({canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)) JOIN names USING (digest)
+  GROUP BY doc_id
+)
+SELECT d.doc_id, d.digest AS canonical_sha256, n.license_id, coalesce(h.notices, '') AS notices
+FROM (SELECT doc_id, sha256({canonical("text")}) AS digest FROM docs) d
+LEFT JOIN names n USING (digest) LEFT JOIN hits h ON h.doc_id = d.doc_id
+"""
+
+
+ORACLES["op8_license_scan"] = license_oracle()
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; rows with crc32(doc_id) mod 3 = 1 are never learned from."""
