@@ -100,7 +100,7 @@ class Chunks:
                 first = np.repeat(first, reps) + turn * width
                 length = np.minimum(last - first, width)
             last = first + length - 1
-            keys.append(least[first])
+            keys.append(mix(least[first]))  # least hashes are small; mixed, they fill all buckets alike
             digests.append((mix(whole[first] * U(3) + whole[last] * U(7) + length.astype(np.uint64)) >> U(32)).astype(np.uint32))
             firsts.append(first + lo)
             lasts.append(last + lo)
