@@ -1,4 +1,4 @@
 """Named queries over the driver tables; importing the package registers them all."""
 
-from . import event_queries, link_queries, rollup_queries  # noqa: F401
+from . import event_queries, link_queries, rollup_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
