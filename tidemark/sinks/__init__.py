@@ -1 +1,61 @@
+"""Sinks: nested documents, key-wise upserts, history rings and replay routing."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.memo import upsert
+
+Names = Sequence[str]
+
+
+def nested(parent: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
+    """One document a parent row: the children of each kind become an array, in the order of their columns."""
+    out = parent
+    for name, df in children.items():
+        rest = [c for c in df.columns if c != key]
+        grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+        kind = grouped.schema[name].dataType.simpleString()
+        out = out.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})")))
+    return out
+
+
+def write_documents(df: DataFrame, path: str, compression: str = "none") -> None:
+    """One JSON object a row."""
+    df.write.option("compression", compression).mode("overwrite").json(path)
+
+
+def merged(old: DataFrame, new: DataFrame, key: Names, path: str) -> None:
+    """Idempotent upsert into a Parquet table: a second run with the same rows changes nothing. path must not be what old reads."""
+    upsert(old, new, key).write.mode("overwrite").parquet(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Append-only log."""
+    df.write.mode("append").parquet(path)
+
+
+def history_ring(history: Column, item: Column, keep: int = 3) -> Column:
+    """The newest entries of a history with one more at its end."""
+    whole = F.concat(history, F.array(item))
+    return F.slice(whole, F.greatest(F.size(whole) - keep + 1, F.lit(1)), F.lit(keep))
+
+
+def versions(writes: DataFrame, by: Names, order: Names) -> DataFrame:
+    """Consecutive version numbers of the writes of a file, from 1."""
+    return writes.withColumn("version", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def replay_route(entry: Column, status: Column, now: Column, most: int = 5, ttl_days: int = 14) -> Column:
+    """What to do with a stashed upload: entry is struct(version, attempts, stashed_at), status the last HTTP status (null: none yet)."""
+    return (
+        F.when(entry["version"] != 1, "quarantine")
+        .when(entry["stashed_at"] < now - F.make_dt_interval(days=F.lit(ttl_days)), "expire")
+        .when(status.between(200, 299) | (status == 409), "delete")
+        .when(entry["attempts"] >= most, "quarantine")
+        .when(status.isNull() | (status == 429) | (status >= 500), "retry")
+        .otherwise("quarantine")
+    )

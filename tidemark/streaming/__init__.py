@@ -1 +1,54 @@
+"""Structured Streaming forms of the ordered-event operators.
 
+A watermark is new here: rows that come later than it are dropped, which a batch never does.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def read_events(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
+    """New Parquet files of a folder, each once."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def gap_sessions(events: DataFrame, by: str, ts: str, seconds: int = 900, late: str = "1 hour") -> DataFrame:
+    """Sessions cut at gaps of more than `seconds`; the end is the last event's time, not the window's end."""
+    rows = events.withWatermark(ts, late)
+    window = F.session_window(ts, f"{seconds} seconds")
+    return rows.groupBy(by, window).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n_events")).drop("session_window")
+
+
+def first_seen(rows: DataFrame, key: list[str], ts: str, late: str = "1 hour") -> DataFrame:
+    """Each key once while its watermark lasts."""
+    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+
+
+def mutation_log(ops: DataFrame) -> DataFrame:
+    """Replays a log per path as operations come: ops has path, line_no, op (upsert, rewind or clear), id.
+
+    Emits the number of messages and the ids after each batch; the state of a path is its list of ids.
+    """
+    import pandas as pd
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ids = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("line_no")
+        for op, i in zip(rows["op"], rows["id"], strict=True):
+            if op == "clear":
+                ids = []
+            elif op == "rewind":
+                ids = ids[: ids.index(i)] if i in ids else []
+            elif i not in ids:
+                ids.append(i)
+        state.update((ids,))
+        yield pd.DataFrame({"path": [key[0]], "n": [len(ids)], "ids": [ids]})
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return ops.groupBy("path").applyInPandasWithState(fold, "path string, n int, ids array<string>", "ids array<string>", "update", GroupStateTimeout.NoTimeout)
