@@ -428,6 +428,7 @@ def described(found: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut out of text; a character that loses some of its bytes goes whole. n_chars, where there is one, counts anew."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = remove_repeats(docs, others, as_text=True)
-    made = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cut.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    plain = {c: f"_extra_{i}" for i, c in enumerate(others)}  # whatever the extra columns are called
+    cut = remove_repeats(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in plain.items()]), list(plain.values()), as_text=True)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long"), **{c: F.col(n) for c, n in plain.items()}}
+    return cut.select(*[made[c].alias(c) for c in docs.columns])
