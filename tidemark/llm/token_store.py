@@ -92,41 +92,50 @@ class ShardEncoder:
         """No two white spaces in a row, none but space and newline, no special token."""
         return self.by_chunk and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable() and not any(m in text for m in self.marks)
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that the cache lacks, and of the words inside them.
 
         A chunk stands behind a space unless it begins with a newline or with NUL, which marks the start of a text.
         A word of letters, alone or with a comma or a full stop after it, is a word of its own to the
         vocabulary; anything else goes to the library.
         """
-        out = {c: self.older[c] for c in chunks & self.older.keys()}
-        chunks = chunks - out.keys()
-        alpha = {c for c in chunks if c.isalpha()}
-        closed = [c for c in chunks if c[-1:] in self.closing and c[:-1].isalpha()]
-        lines = [c for c in chunks if c[:1] in self.leads and c[1:].isalpha()]
-        rest = list(chunks.difference(alpha, closed, lines))
-        alpha.update(c[:-1] for c in closed)
-        known = self.chunks
-        new = list(alpha - known.keys() - out.keys())
-        out.update(zip(new, self.words(new, " "), strict=True))
+        out, alpha, closed, lines, rest = {}, [], [], [], []
+        known, older, closing, leads = self.chunks, self.older, self.closing, self.leads
+        for c in chunks:
+            if c in older:
+                out[c] = older[c]
+            elif c.isalpha():
+                alpha.append(c)
+            elif c[-1:] in closing and c[:-1].isalpha():
+                closed.append(c)
+            elif c[:1] in leads and c[1:].isalpha():
+                lines.append(c)
+            else:
+                rest.append(c)
+        inner = {w for c in closed if (w := c[:-1]) not in known and w not in out}
+        alpha += inner.difference(alpha)
+        out.update(zip(alpha, self.words(alpha, " "), strict=True))
         for c in closed:
             w = c[:-1]
-            out[c] = (out[w] if w in out else known[w]) + self.closing[c[-1]]
+            out[c] = (out[w] if w in out else known[w]) + closing[c[-1]]
         for c, ids in zip(lines, self.words([c[1:] for c in lines], ""), strict=True):
-            out[c] = self.leads[c[0]] + ids
+            out[c] = leads[c[0]] + ids
         out.update(zip(rest, self.library([c if c[:1] == "\n" else c[1:] if c[:1] == "\0" else " " + c for c in rest]), strict=True))
         return out
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """Ids of different chunks."""
-        missing = set(chunks) - self.chunks.keys()
+        found = list(map(self.chunks.get, chunks))
+        missing = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
         if len(self.chunks) + len(missing) > CACHED:  # what is still in use comes back from the older half
             self.older, self.chunks = self.chunks, {}
-            missing = set(chunks)
+            found, missing = [None] * len(chunks), chunks
         learnt = self.learn(missing)
-        long = {c: learnt.pop(c) for c in [c for c in learnt if len(c) > CACHED_CHARS]}
+        out = [learnt[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        for c in [c for c in learnt if len(c) > CACHED_CHARS]:
+            del learnt[c]
         self.chunks.update(learnt)
-        return [long[c] if c in long else self.chunks[c] for c in chunks] if long else list(map(self.chunks.__getitem__, chunks))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids and the end id."""
