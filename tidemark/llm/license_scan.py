@@ -29,15 +29,21 @@ SPELLINGS = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+def simplified(text: Column) -> Column:
+    """The canonical text with its line ends still in place."""
+    text = F.regexp_replace(F.lower(text), COPYRIGHT.replace("(?m)", "(?md)"), "")  # d: only a line feed ends a line
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+    return F.regexp_replace(text, "[^a-z0-9\n]+", " ")
+
+
+def digest_of(simple: Column) -> Column:
+    """Digest of a simplified text."""
+    return F.sha2(F.trim(F.regexp_replace(simple, "[^a-z0-9]+", " ")), 256)
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    return digest_of(simplified(text))
 
 
 def known_digests(spark: SparkSession, rows: DataFrame | None = None) -> DataFrame:
@@ -53,7 +59,8 @@ def scan(docs: DataFrame, known_rows: DataFrame | None = None, id_col: str = "do
     table = known_digests(docs.sparkSession, known_rows)
     few = known_rows is None or table.limit(KNOWN_ROWS + 1).count() <= KNOWN_ROWS
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), F.array_distinct(F.transform(F.split(text, "\n"), digest)).alias("lines"))
+    simple = docs.select(F.col(id_col).cast("long").alias("doc_id"), simplified(text).alias("simple"))  # once for the whole and its lines
+    rows = simple.select("doc_id", digest_of(F.col("simple")).alias("digest"), F.array_distinct(F.transform(F.split("simple", "\n"), lambda x: F.sha2(F.trim(x), 256))).alias("lines"))
     if few:
         table = F.broadcast(table)
     hits = rows.select("doc_id", F.col("digest").alias("whole"), F.explode("lines").alias("digest")).join(table, "digest").groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
