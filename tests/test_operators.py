@@ -78,7 +78,7 @@ def test_greedy_chunks_open_only_where_allowed(spark):
 def test_even_split_and_eviction(spark):
     df = spark.createDataFrame([(1, i, 10) for i in range(5)], "u int, i int, t int")
     assert [r.part for r in W.even_split(df, ["u"], ["i"], "t", 25).orderBy("i").collect()] == [0, 0, 0, 1, 1]
-    got = W.evict_oldest(df, ["u"], [F.desc("i")], "t", 20).filter("evicted").collect()
+    got = W.evict_oldest(df, ["u"], "i", "t", 20, 2).filter("evicted").collect()
     assert sorted(r.i for r in got) == [0, 1, 2]
 
 

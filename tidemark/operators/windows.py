@@ -123,10 +123,23 @@ def rolling_rate(df: DataFrame, by: Names, order: Names, failed: Column, size: i
     return rows.withColumn("tripped", ((F.col("n_recent") == size) & (F.col("n_failed") >= trip * size)) | (F.col("fail_run") >= run)).drop("_f", "_ok")
 
 
-def evict_oldest(df: DataFrame, by: Names, newest_first: Sequence[Column], size: str, cap: int) -> DataFrame:
-    """Marks the oldest rows to drop until what is left holds at most cap."""
-    w = Window.partitionBy(*by).orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("kept_size", F.sum(size).over(w)).withColumn("evicted", F.col("kept_size") > cap)
+def prefix_sums(df: DataFrame, by: Names, key: str, value: str, name: str, block: int, newest_first: bool = False) -> DataFrame:
+    """Running sums in the order of a whole-number key, in blocks of `block` key values.
+
+    Sums of blocks are added up first, a row for each block, and every block then runs by itself: a group that
+    holds a third of all rows is as many tasks as it has blocks. Rows that share a key need not have one order among themselves.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(key) / block))
+    order = (lambda c: F.desc(c)) if newest_first else (lambda c: F.asc(c))
+    sums = rows.groupBy(*by, "_b").agg(F.sum(value).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums.withColumn("_before", before).drop("_s"), [*by, "_b"]).withColumn(name, F.col("_before") + inside).drop("_b", "_before")
+
+
+def evict_oldest(df: DataFrame, by: Names, age_key: str, size: str, cap: int, block: int = 10_000) -> DataFrame:
+    """Marks the oldest rows (least age_key) to drop until what is left holds at most cap."""
+    return prefix_sums(df, by, age_key, size, "kept_size", block, newest_first=True).withColumn("evicted", F.col("kept_size") > cap)
 
 
 def latest(df: DataFrame, by: Names, newest_first: Sequence[Column], n: int = 1) -> DataFrame:

@@ -225,7 +225,7 @@ def even_split(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH x AS (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS kept FROM documents) SELECT doc_id, source, kept::BIGINT AS kept_size, kept > 60000 AS evicted FROM x")
 def cumulative_eviction(spark: SparkSession, d: str) -> DataFrame:
     """Oldest documents of a source to drop until 60,000 characters are left."""
-    return W.evict_oldest(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], [F.desc("doc_id")], "n_chars", 60_000).select("doc_id", "source", "kept_size", "evicted")
+    return W.evict_oldest(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], "doc_id", "n_chars", 60_000, 1000).select("doc_id", "source", "kept_size", "evicted")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
