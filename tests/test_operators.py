@@ -222,3 +222,16 @@ def test_memo_and_upsert(spark):
     assert sorted((r.k, r.v) for r in memo.upsert(old, new, ["k"], F.col("o")).collect()) == [(1, "y"), (2, "q"), (3, "z")]
     listing = spark.createDataFrame([("f", 1), ("g", 2)], "path string, mtime int")
     assert [r.path for r in memo.changed(listing, spark.createDataFrame([("f", 1), ("g", 1)], "path string, mtime int")).collect()] == ["g"]
+
+
+def test_json_repair(spark):
+    from tidemark.functions import jsonrepair as J
+
+    rows = ['{"a": 1}', 'text ```json\n{"a": "}"}\n``` more', 'x {bad} {"a": "\\"}"} tail', "none", None, '[{"a": 2}]']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string")
+    got = [r.o for r in df.select("i", J.json_object(F.col("s")).alias("o")).orderBy("i").collect()]
+    assert got == ['{"a": 1}', '{"a": "}"}', '{"a": "\\"}"}', None, None, '{"a": 2}']
+    arrays = [r.o for r in df.select("i", J.json_array(F.col("s")).alias("o")).orderBy("i").collect()]
+    assert arrays[0] == '[{"a": 1}]' and arrays[5] == '[{"a": 2}]' and arrays[3] is None
+    s = spark.sql("SELECT '{\"x\": \"7.5\", \"y\": 99, \"z\": \"no\"}' AS j").select(J.scores(F.col("j"), ["x", "y", "z", "w"]).alias("s")).first().s
+    assert (s.x, s.y, s.z, s.w) == (7.5, 10.0, 5.0, 5.0)
