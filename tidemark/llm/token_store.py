@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -37,8 +38,10 @@ from .common import keyed_texts, new_path, slices, stored
 MAGIC = b"TIDEIDS1"
 #: Cached chunks of one worker, in each of two halves; a longer chunk is never cached.
 CACHED, CACHED_CHARS = 500_000, 64
-#: Characters that are encoded together.
-TOGETHER = 1 << 22
+#: Two white spaces in a row, white space but space and line feed, NUL (the mark of a text's start). Fixed value.
+ODD_SPACE = r"[ \n][ \n]|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes that are encoded together.
+TOGETHER = 1 << 23
 #: Bits of a level of the hash for each key that is left.
 GAMMA = 2.0
 
@@ -57,11 +60,14 @@ class ShardEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if hasattr(model := self.tokenizer.model, "_resize_cache"):
+            model._resize_cache(0)  # nearly every word that reaches the library is new
+            self.tokenizer.model = model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
         self.by_chunk = not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.marks = [x["content"] for x in spec["added_tokens"]]
+        self.odd = "|".join([ODD_SPACE, *(re.escape(x["content"]) for x in spec["added_tokens"])])
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.end = array(self.code, [end_id]).tobytes()
@@ -88,9 +94,11 @@ class ShardEncoder:
             out += [raw[a:b] for a, b in zip(starts, [*cuts, len(raw)], strict=True)]
         return out
 
-    def plain(self, text: str) -> bool:
-        """No two white spaces in a row, none but space and newline, no special token."""
-        return self.by_chunk and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable() and not any(m in text for m in self.marks)
+    def plain(self, texts: pa.Array) -> pa.Array:
+        """Which texts have no two white spaces in a row, none but space and newline, and no special token."""
+        if not self.by_chunk:
+            return pa.array([False] * len(texts))
+        return pc.invert(pc.match_substring_regex(texts, self.odd))
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that the cache lacks, and of the words inside them.
@@ -137,43 +145,44 @@ class ShardEncoder:
         self.chunks.update(learnt)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """For each text its ids and the end id."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        plain = [self.plain(t) for t in texts]
-        whole = [i for i, p in enumerate(plain) if not p]
-        for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
-            out[i].append(ids)
-        owners, parts, used = [], [], 0
-        for i in (i for i, p in enumerate(plain) if p):
-            for part in pieces("\0" + texts[i].replace("\n", " \n")):
-                owners.append(i)
-                parts.append(part)
-                used += len(part)
-                if used >= TOGETHER:
-                    for k, ids in zip(owners, self.encode_parts(parts), strict=True):
-                        out[k].append(ids)
-                    owners, parts, used = [], [], 0
-        for k, ids in zip(owners, self.encode_parts(parts), strict=True):
-            out[k].append(ids)
-        return [b"".join([*x, self.end]) for x in out]
-
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = self.plain(texts)
+        whole = np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(whole, self.library([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = ids
+        owners = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        rows = pc.binary_join_element_wise("\0", pc.replace_substring(texts.filter(plain), "\n", " \n"), "")
+        ends = np.cumsum(pc.binary_length(rows).to_numpy())
+        at = 0
+        while at < len(rows):  # about TOGETHER bytes at a time
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+            group = rows.slice(at, end - at)
+            made = self.encode_parts(group) if end - at > 1 else [b"".join(b"".join(self.encode_parts(pa.array([p]))) for p in pieces(group[0].as_py()))]
+            for i, ids in zip(owners[at:end].tolist(), made, strict=True):
+                out[i] = ids
+            at = end
+        return [x + self.end for x in out]
+
+    def encode_parts(self, parts: pa.Array) -> list[bytes]:
         """Ids of stretches of plain texts, by way of their different chunks."""
-        split = pc.split_pattern(pa.array(parts, pa.string()), " ")
+        split = pc.split_pattern(parts, " ")
         coded = split.flatten().dictionary_encode()
         at, ids = coded.indices.to_numpy(), self.ids_of(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.code)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width  # fewer than 2^31 ids in a stretch
+        start, flat = (np.cumsum(size) - size).astype(np.int32), np.frombuffer(b"".join(ids), self.code)
         sizes = size[at]
         ends = np.cumsum(sizes)
-        raw = flat[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        places = np.repeat((start[at] - (ends - sizes)).astype(np.int32), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        raw = flat[places].tobytes()
         bounds = (np.append(0, ends)[split.offsets.to_numpy()] * self.width).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def pieces(text: str) -> Iterator[str]:
-    """A plain text cut at spaces into stretches of at most TOGETHER characters, where it has spaces."""
+    """A plain text cut at spaces into stretches of about TOGETHER characters, where it has spaces."""
     while len(text) > TOGETHER and (cut := text.rfind(" ", 1, TOGETHER)) > 0:
         yield text[:cut]
         text = text[cut + 1 :]
@@ -323,7 +332,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_co
                     system.create_dir(place, recursive=True)
                     out = system.open_output_stream(own)
                     writer = ShardWriter(out, code.width)
-                for key, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1).to_pylist()), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1)), strict=True):
                     writer.add(key, ids)
         if writer:
             writer.close()
