@@ -84,4 +84,5 @@ def scores(c: Column, names: list[str], low: float = 0.0, high: float = 10.0, de
     """struct of one number for each name, numeric strings taken, clamped; the default where it is missing or no number."""
     value = lambda n: F.get_json_object(c, f"$.{n}")
     number = lambda n: F.when(F.rlike(value(n), F.lit(r"^\s*[+-]?[0-9]+(\.[0-9]+)?\s*$")), value(n).try_cast("double"))
-    return F.struct(*[F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), number(n))), F.lit(default)).alias(n) for n in names])
+    clamped = lambda n: F.when(number(n).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), number(n))))
+    return F.struct(*[F.coalesce(clamped(n), F.lit(default)).alias(n) for n in names])

@@ -88,7 +88,7 @@ def number_or_null(c: str | Column) -> Column:
 
 
 def clamp(c: str | Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))
+    return F.when(col(c).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col(c))))
 
 
 def lenient_ts(c: str | Column) -> Column:
