@@ -32,11 +32,33 @@ def event_index(df: DataFrame, by: Names, order: Names, name: str = "idx") -> Da
     return df.withColumn(name, F.row_number().over(stream(by, order)) - 1)
 
 
-def islands(df: DataFrame, by: Names, ts: str, order: Names, seconds: int, name: str = "island") -> DataFrame:
-    """Numbers runs of rows; a gap of more than `seconds` starts the next one. Null times are dropped first."""
-    w = stream(by, order)
-    started = df.filter(F.col(ts).isNotNull()).withColumn("_new", F.coalesce(gap(ts, w) > seconds * 1_000_000, F.lit(False)).cast("int"))
-    return started.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def time_blocks(df: DataFrame, by: Names, ts: str, order: Names, seconds: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with _b (the block of time) and _gap (to the row before in it), and a row a block with its first and last time,
+    the number of gaps over `seconds`, the sum of the others, its size, and the gap to the block before.
+
+    A stream that holds a third of all rows is as many tasks as it has blocks; only the row a block is ordered by stream.
+    """
+    us = block * 1_000_000
+    rows = df.filter(F.col(ts).isNotNull()).withColumn("_b", F.floor(micros(ts) / us))
+    rows = rows.withColumn("_gap", gap(ts, stream([*by, "_b"], order)))
+    long = F.col("_gap") > seconds * 1_000_000
+    sums = rows.groupBy(*by, "_b").agg(F.min(micros(ts)).alias("_first"), F.max(micros(ts)).alias("_last"), F.count_if(long).alias("_breaks"), F.coalesce(F.sum(F.when(~long, F.col("_gap"))), F.lit(0)).alias("_short"), F.count("*").alias("_n"))
+    return rows, sums.withColumn("_between", F.col("_first") - F.lag("_last").over(stream(by, ["_b"])))
+
+
+def islands(df: DataFrame, by: Names, ts: str, order: Names, seconds: int, name: str = "island", block: int = 86_400) -> DataFrame:
+    """Numbers runs of rows; a gap of more than `seconds` starts the next one. Null times are dropped first.
+
+    Breaks are counted inside blocks of time, and each block adds the breaks of the blocks before it.
+    """
+    limit = seconds * 1_000_000
+    rows, sums = time_blocks(df, by, ts, order, seconds, block)
+    w = stream(by, ["_b"])
+    opens = F.coalesce((F.col("_between") > limit).cast("long"), F.lit(0))
+    before = F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_breaks").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.sum((F.coalesce(F.col("_gap") > limit, F.lit(False))).cast("long")).over(stream([*by, "_b"], order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("_here", here).join(sums.select(*by, "_b", before.alias("_before")), [*by, "_b"])
+    return joined.withColumn(name, F.col("_before") + F.col("_here")).drop("_b", "_gap", "_here", "_before")
 
 
 def gap_sessions(df: DataFrame, by: Names, ts: str, order: Names, seconds: int = 900) -> DataFrame:
@@ -44,11 +66,11 @@ def gap_sessions(df: DataFrame, by: Names, ts: str, order: Names, seconds: int =
     return islands(df, by, ts, order, seconds).groupBy(*by, "island").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n_events"))
 
 
-def active_seconds(df: DataFrame, by: Names, ts: str, order: Names, longest: int = 5400) -> DataFrame:
+def active_seconds(df: DataFrame, by: Names, ts: str, order: Names, longest: int = 5400, block: int = 86_400) -> DataFrame:
     """Sum of the gaps of at most `longest` seconds (microseconds kept), number of rows and the whole span."""
-    w = stream(by, order)
-    rows = df.filter(F.col(ts).isNotNull()).withColumn("_gap", gap(ts, w))
-    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_gap") <= longest * 1_000_000, F.col("_gap"))), F.lit(0)).alias("active_us"), (F.max(micros(ts)) - F.min(micros(ts))).alias("span_us"), F.count("*").alias("n_events"))
+    _, sums = time_blocks(df, by, ts, order, longest, block)
+    between = F.when(F.col("_between") <= longest * 1_000_000, F.col("_between")).otherwise(0)
+    return sums.groupBy(*by).agg(F.sum(F.col("_short") + between).alias("active_us"), (F.max("_last") - F.min("_first")).alias("span_us"), F.sum("_n").alias("n_events"))
 
 
 def clusters(df: DataFrame, by: Names, ts: str, order: Names, seconds: int = 7200) -> tuple[DataFrame, DataFrame]:
