@@ -246,7 +246,7 @@ def cut_chunks(buckets: int, block: int, stretch: int):
                 yield with_bucket(by_document(doc[~kept], tag[~kept], number[~kept], COVERED), buckets)
             doc, tag, number, keys, digests = (a[kept] for a in (doc, tag, number, keys, digests))
             low = keys.view(np.uint8).reshape(-1, 8)
-            pack = lambda rows: packed(doc[rows], tag[rows], [(number[rows], True), (digests[rows], False)], tail=b"") + np.ascontiguousarray(low[rows, :6]).tobytes()  # noqa: E731, B023
+            pack = lambda rows: packed(doc[rows], tag[rows], [(number[rows], True), (digests[rows], False)]) + np.ascontiguousarray(low[rows, :6]).tobytes()  # noqa: E731, B023
             yield blob_rows(list(dealt(key_bucket(keys, buckets), pack)))
 
     return run
@@ -376,12 +376,11 @@ def kept_and_removed(text: bytes, numbers: list[bytes], starts: list[bytes], str
 
 
 def tagged(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """doc (null: the greatest), tag (tells rows of one doc_id apart; 0 where ids are unique), text and further columns."""
+    """doc (null: the greatest), tag (tells rows of one doc_id apart by their text; 0 where ids are unique), text and further columns."""
     rows = keyed_texts(docs)
-    repeated = not rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if repeated else F.lit(0).cast("long")
+    unique = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
-    return named.select("doc", (F.xxhash64("text") if repeated else tag).alias("tag"), "text", *extra)
+    return named.select("doc", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("tag"), "text", *extra)
 
 
 def remove_repeats(docs: DataFrame, extra: list[str] = (), as_text: bool = False, hot: int = HOT, block: int = BLOCK_BYTES, stretch: int = STRETCH) -> DataFrame:
