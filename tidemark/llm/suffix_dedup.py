@@ -41,8 +41,9 @@ from .common import keyed_texts, slices, stored
 DEPTH, KEY = 50, 20
 #: Different chunks of one key beyond which its suffixes are dealt one by one.
 HOT = 20_000
-#: Bytes of documents that one block packs together; of text for each bucket; of a text that one numpy pass hashes.
-BLOCK_BYTES, BUCKET_BYTES, STRETCH = 8 << 20, 8 << 20, 1 << 20
+#: Bytes of documents that one block packs together; of text for a bucket at most, and at least where that gives no SPREAD buckets; of a text that one numpy pass hashes.
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BYTES, STRETCH = 8 << 20, 16 << 20, 512 << 10, 1 << 20
+SPREAD = 128
 NO_ID = (1 << 63) - 1
 U = np.uint64
 M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
@@ -390,7 +391,8 @@ def remove_repeats(docs: DataFrame, extra: list[str] = (), as_text: bool = False
     """
     rows = tagged(docs, list(extra))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(max(1, -(-total // BUCKET_BYTES)), 1 << 16))
+    size = min(BUCKET_BYTES, max(LEAST_BYTES, total // SPREAD))
+    buckets = int(min(max(1, -(-total // size)), 1 << 16))
     core = rows.select("doc", "tag", "text")
     found = stored(core.mapInArrow(cut_chunks(buckets, block, stretch), DEALT).groupBy("bucket").applyInArrow(lambda k, t: equal_chunks(k, t, hot), FOUND), "chunks")
     shared = found.filter(F.col("kind") == SHARED).groupBy("doc", "tag").agg(F.collect_list("data").alias("shared")).hint("shuffle_hash")
