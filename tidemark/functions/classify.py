@@ -35,6 +35,7 @@ STEERING: Rules = [
     ("scope", word("only|just|skip|ignore")),
 ]
 IRREVERSIBLE, COSTLY = word("drop|delete|migrate|publish|release"), word("rename|rewrite|refactor|replace")
+#: Marks of proposals: options, then questions. Fixed values.
 OPTIONS: Rules = [("numbered", r"(?i)(option|approach|choice)\s*([0-9]|[A-C])"), ("bold list", r"[0-9]+[.)]\s+\*\*[^*]+\*\*"), ("we could", "(?i)(we could|you could|options are):"), ("several", r"(?i)(here|there) are\s+([0-9]+|several)\s+(options|ways)"), ("weighing", r"(?i)(trade-?offs?|pros and cons|versus)")]
 QUESTIONS: Rules = [("wish", "(?i)(would you (like|prefer)|should (i|we)|how should)"), ("which", "(?i)(which (option|approach)|do you want me to)")]
 
