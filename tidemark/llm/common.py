@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,6 +31,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
     top = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(top)
     files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = re.sub("^file:/+", "file:///", files.makeQualified(jpath).toString())  # with its scheme, for readers that are not Hadoop's
     if not files.exists(jpath):
         files.mkdirs(jpath)
         files.deleteOnExit(jpath)
