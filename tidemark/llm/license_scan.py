@@ -7,7 +7,7 @@ The known table is broadcast only if it has at most KNOWN_ROWS rows; a larger on
 Lines are digested where they are read and only those that are known leave that place.
 
 Defined cases: a null or empty text has the digest of the empty string and matches nothing; a text
-known under several licences takes the least name; rows that share a doc_id give one row each; a null doc_id
+known under several licences takes the least name; rows that share a doc_id give one row each (their notices together where the canonical texts are equal); a null doc_id
 is kept; lines of any length are digested whole.
 """
 
@@ -58,12 +58,15 @@ def scan(docs: DataFrame, known_rows: DataFrame | None = None, id_col: str = "do
     """Per row: doc_id, digest (of the whole canonical text), license_id (of the whole; null if unknown), notices (sorted licences of its lines)."""
     table = known_digests(docs.sparkSession, known_rows)
     few = known_rows is None or table.limit(KNOWN_ROWS + 1).count() <= KNOWN_ROWS
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    simple = docs.select(F.col(id_col).cast("long").alias("doc_id"), simplified(text).alias("simple"))  # once for the whole and its lines
-    rows = simple.select("doc_id", digest_of(F.col("simple")).alias("digest"), F.array_distinct(F.transform(F.split("simple", "\n"), lambda x: F.sha2(F.trim(x), 256))).alias("lines"))
     if few:
         table = F.broadcast(table)
-    hits = rows.select("doc_id", F.col("digest").alias("whole"), F.explode("lines").alias("digest")).join(table, "digest").groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
-    whole = rows.select("doc_id", "digest").join(table, "digest", "left")
-    h = hits.select(F.col("doc_id").alias("h_id"), "whole", "notices")
-    return whole.join(h, whole.doc_id.eqNullSafe(h.h_id) & (whole.digest == h.whole), "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.expr("cast(array() as array<string>)")).alias("notices"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the lambda's variable holds the simplified text, so that it is made once for the whole and its lines
+    lines = lambda x: F.array_distinct(F.transform(F.split(x, "\n"), lambda line: F.sha2(F.trim(line), 256)))
+    made = F.transform(F.array(simplified(text)), lambda x: F.struct(digest_of(x).alias("whole"), lines(x).alias("lines")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline_outer(made))
+    units = texts.select("doc_id", "whole", F.posexplode_outer("lines").alias("pos", "digest"))
+    # lines of a text stand in one task, so that a row a text is left before the shuffle
+    found = units.join(table, "digest", "left").groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("license_id")).alias("notices"), F.count_if(F.col("pos") == 0).alias("n"))
+    named = found.join(table.select(F.col("digest").alias("whole"), "license_id"), "whole", "left")
+    return named.select("doc_id", F.col("whole").alias("digest"), "license_id", "notices", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).drop("copy")
