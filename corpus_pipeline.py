@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, nbsvm, simhash, suffix_dedup
+from tidemark.llm import bpe, decontaminate, near_copies, nbsvm, suffix_dedup
 from tidemark.llm.common import documents, forget, stored, table
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of texts that share at least 80 % of their five-word shingles, the least doc_id's."""
+    return near_copies.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

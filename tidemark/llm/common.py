@@ -61,6 +61,24 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def one_of_each(docs: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of docs of each component: that of the least doc_id (null last), then of the least hash of its text.
+
+    found: doc_id, row (XXH64 of the text, seed 42), node for every row of docs; roots: node, root of the nodes that are linked.
+    A row is known by its doc_id and the hash of its text; rows that share both are one.
+    """
+    distinct = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    rooted = distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    classes = rooted.join(named, "root").select("node", "least")
+    lost = found.join(classes, "node").filter("not (doc_id <=> least.doc_id and row = least.row)").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.withColumn("_hash", text_hash).join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left_anti")
+    if not found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_hash"])
+    return kept.drop("_hash")
+
+
 def per_text(docs: DataFrame, make: Callable[[], Callable[[list, list], dict[str, list]]], schema: str) -> DataFrame:
     """Maps (doc_id, text) rows batch by batch: make() gives, once a task, a function of ids and texts."""
     names = [x.strip().split()[0] for x in schema.split(",")]
