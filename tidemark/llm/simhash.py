@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, per_text, stored
+from .common import keyed_texts, one_of_each, per_text, stored
 from .graph import components
 
 RADIUS, SHINGLE, SEED, BUCKET = 2, 3, 42, 4096
@@ -54,16 +54,17 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long); keyed: also row, the hash of the text as one_of_each takes it."""
 
     def make():
         def work(ids: list, texts: list) -> dict[str, list]:
-            return {"doc_id": ids, "fp": [x - (1 << 64) if (x := fingerprint(t)) >> 63 else x for t in texts]}
+            found = {"doc_id": ids, "fp": [signed(fingerprint(t)) for t in texts]}
+            return found | {"row": [signed(xxhash.xxh64_intdigest(t.encode("utf-8"), SEED)) for t in texts]} if keyed else found
 
         return work
 
-    return per_text(keyed_texts(docs, id_col, text_col), make, "doc_id long, fp long")
+    return per_text(keyed_texts(docs, id_col, text_col), make, "doc_id long, fp long" + ", row long" * keyed)
 
 
 def block_masks(radius: int) -> list[int]:
@@ -185,10 +186,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
-    found = near_duplicates(docs)
-    lost = found.filter("not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti")
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one row of each component, that of the least doc_id (null last); rows of one doc_id with other texts are decided each for itself."""
+    prints = stored(fingerprints(docs, keyed=True), "fingerprints")
+    roots = components(links(prints.select("fp").distinct()))
+    return one_of_each(docs, prints.select("doc_id", "row", F.col("fp").alias("node")), roots)
