@@ -1,6 +1,6 @@
 r"""Licence scan by canonical digests (operator 8), in DataFrame operations only.
 
-A text becomes canonical in fixed steps: lower case, copyright lines out, equivalent spellings to
+A text becomes canonical in fixed steps: lower case, copyright statements out, equivalent spellings to
 one, everything but ASCII letters and digits to one space. Its SHA-256 digest is looked up among the digests
 of known licence texts and notices by a hash join: the text as a whole, and each of its lines.
 The known table is broadcast only if it has at most KNOWN_ROWS rows; a larger one is joined by a shuffle.
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .license_texts import known
 
 KNOWN_ROWS = 100_000
-#: A copyright line, up to its end. Fixed value.
+#: A copyright statement, up to the end of its line: prose that merely begins with the word is none. Fixed value.
+STATEMENT = r"(?md)^[ \t#*/;-]*((portions )?copyright\b([ \t]+by\b|[^\n]*(\b(19|20)[0-9]{2}\b|\(c\)|©))|\(c\)|©|all rights reserved)[^\n]*$"
+#: The wider form that the SQL of the query has: every line that begins with the word. Fixed value.
 COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|portions copyright|all rights reserved)[^\n]*$"
 #: Equivalent spellings, replaced in this order after lower-casing. Fixed values.
 SPELLINGS = [
@@ -31,7 +33,7 @@ SPELLINGS = [
 
 def simplified(text: Column) -> Column:
     """The canonical text with its line ends still in place."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT.replace("(?m)", "(?md)"), "")  # d: only a line feed ends a line
+    text = F.regexp_replace(F.lower(text), STATEMENT, "")  # d: only a line feed ends a line
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
     return F.regexp_replace(text, "[^a-z0-9\n]+", " ")
