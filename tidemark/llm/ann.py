@@ -5,6 +5,7 @@ the greatest norm. Centroids come from balanced k-means on a sample of at most S
 vector is listed under its nearest centroid and, near a boundary, under up to COPIES in all.
 A query walks a neighbour graph of the centroids, best first, and takes every list whose distance is
 within a ratio of the nearest; the ratio is the least that reaches TARGET recall among sample queries.
+Where those lists are too small it goes on to farther ones: COPIES * (k + 1) listed ids are at least k + 1 different ones.
 Lists meet their queries by a shuffle on (list, part): lists longer than PART vectors are dealt
 to several parts, each a bounded block, and queries go to all parts of a list, so that no task holds a
 whole hot list. Every row is indexed. Scores are inner products in double precision of the vectors
@@ -83,8 +84,8 @@ class Lists:
         row, k = np.nonzero(near <= near.min(1, keepdims=True) * BOUNDARY)
         return row, at[row, k]
 
-    def chosen(self, q: np.ndarray) -> list[int]:
-        """Lists for one query: best-first over the graph, to the pruning ratio."""
+    def chosen(self, q: np.ndarray, held: np.ndarray, need: int) -> list[int]:
+        """Lists for one query: best-first over the graph, to the pruning ratio, and on until they hold need entries (held: entries of each list) or no list is left."""
         q = np.append(q, 0.0)
         square = float(q @ q)
 
@@ -94,18 +95,25 @@ class Lists:
         first = float(distance(np.array([self.start]))[0])
         seen = np.zeros(len(self.squares), bool)
         seen[self.start] = True
-        heap, found, best = [(first, self.start)], [], first
+        heap, found, best, total = [(first, self.start)], [], first, 0
         while heap:
             d, i = heapq.heappop(heap)
-            if d > best * self.ratio and len(found) >= LINKS:
+            if d > best * self.ratio and len(found) >= LINKS and total >= need:
                 break
             found.append((d, i))
+            total += int(held[i])
             new = self.links[i][~seen[self.links[i]]]
             seen[new] = True
             for dist, j in zip(distance(new).tolist(), new.tolist(), strict=True):
                 best = min(best, dist)
                 heapq.heappush(heap, (dist, j))
-        return [i for d, i in found if d <= best * self.ratio]
+        out, total = [], 0
+        for d, i in sorted(found):
+            if d > best * self.ratio and total >= need:
+                break
+            out.append(i)
+            total += int(held[i])
+        return out
 
     def tuned(self, sample: np.ndarray, x: np.ndarray, k: int = 20) -> float:
         """The least ratio at which sample queries find TARGET of their nearest in the sample."""
@@ -170,13 +178,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lists.chosen(q) for q in matrix(batch.column(1))] if batch.num_rows else []
+            found = [lists.chosen(q, held, COPIES * (k + 1)) for q in matrix(batch.column(1))] if batch.num_rows else []
             row = [i for i, x in enumerate(found) for _ in x]
             yield pa.RecordBatch.from_arrays([pa.array([j for x in found for j in x], pa.int32()), batch.column(0).take(pa.array(row, pa.int64())), batch.column(1).take(pa.array(row, pa.int64()))], names=["list", "id", "v"])
 
     schema = "list int, id long, v array<double>"
     posted = stored(rows.mapInArrow(place, schema), "postings")
-    sizes = dict(posted.groupBy("list").count().collect())  # a row for each list, which the sample bounds
+    counted = posted.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect()  # a row for each list, which the sample bounds
+    sizes, held = {r.list: r.n for r in counted}, np.zeros(len(lists.squares), np.int64)
+    for r in counted:
+        held[r.list] = r.ids
     parts = F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // PART))) for i in range(len(lists.squares))])
     n_parts = F.element_at(parts, F.col("list") + 1)
     chosen = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]).mapInArrow(choose, schema)
