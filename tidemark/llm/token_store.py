@@ -1,18 +1,21 @@
 """Token-id shards with a minimal perfect hash index (operator 7).
 
-Documents are dealt by ranges of doc_id, encoded with the tokenizers library, and
+Documents are dealt by ranges of doc_id (and of the beginning of their text, so that one hot
+doc_id, null included, is many tasks), encoded with the tokenizers library, and
 each partition writes one shard: raw little-endian ids, then an index, then a
 footer. The index maps a document key to its run of ids: a minimal perfect hash
 (levels of collision-free bits, ranked by popcount) gives the key's slot, the slot
 holds a fingerprint that tells foreign keys apart, and the offset of the ids.
-Keyed access takes constant time and reads only the ids asked for.
+The fingerprint is a bijection of the key, so that it tells every foreign key apart and the keys need
+not be stored beside it. Keyed access takes constant time in a shard and reads only the ids asked for; the
+manifest names the least and greatest key of each shard.
 
-A shard is written under a name of its own attempt and then renamed, so that a
-lost executor or a second attempt leaves the same files.
+A shard is written under a name of its own attempt. Only attempts that succeed get into the manifest, files of
+others are deleted once it stands; nothing is renamed, so a lost executor or a second attempt does no harm.
 
 Defined cases: null or empty text gives only the end id; rows with a null doc_id come
 first, are counted and read back but are not in the index; rows that share a doc_id
-stay together, ordered by text, and a key gives all of them.
+follow each other, ordered by text, in one shard or several, and a key gives all of them.
 """
 
 from __future__ import annotations
@@ -36,21 +39,75 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, new_path, slices, stored
 
 MAGIC = b"TIDEIDS1"
-#: Cached chunks of one worker, in each of two halves; a longer chunk is never cached.
-CACHED, CACHED_CHARS = 500_000, 64
+#: Chunks that a worker remembers before it forgets half of them.
+CACHED = 1_000_000
 #: Two white spaces in a row, white space but space and line feed, NUL (the mark of a text's start). Fixed value.
 ODD_SPACE = r"[ \n][ \n]|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Bytes that are encoded together.
-TOGETHER = 1 << 23
+#: Bytes that are encoded together; new chunks that go to the library as one text.
+TOGETHER, LINES = 1 << 23, 64
 #: Bits of a level of the hash for each key that is left.
 GAMMA = 2.0
 
 
+class IdTable:
+    """Chunks that a worker remembers: an Arrow array of them, and their ids as runs of one array. It grows from slice to slice."""
+
+    def __init__(self, dtype: str):
+        self.chunks = pa.array([], pa.string())
+        self.flat, self.starts, self.seen = np.zeros(1 << 16, dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.used, self.turn = 0, 0
+
+    def find(self, chunks: pa.Array) -> np.ndarray:
+        """Number of each chunk, -1 where it is not known."""
+        return pc.fill_null(pc.index_in(chunks, self.chunks), -1).to_numpy().astype(np.int64)
+
+    def add(self, chunks: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds different new chunks whose ids follow each other in flat."""
+        n, m = len(self.chunks), len(chunks)
+        self.flat, self.starts, self.seen = grown(self.flat, self.used + len(flat)), grown(self.starts, n + m + 1), grown(self.seen, n + m)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[n + 1 : n + m + 1] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+        self.chunks = pa.concat_arrays([self.chunks, chunks])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a sequence of known chunks, one after the other, and how many each has."""
+        first = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - first
+        places = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        places += np.arange(len(places))
+        return self.flat[places], sizes
+
+    def use(self, numbers: np.ndarray) -> None:
+        self.turn += 1
+        self.seen[numbers] = self.turn
+
+    def forget(self, most: int) -> None:
+        """Keeps about `most` chunks, those of the latest slices."""
+        seen = self.seen[: len(self.chunks)]
+        keep = np.flatnonzero(seen > np.partition(seen, -most)[-most])
+        flat, sizes = self.gather(keep)
+        chunks, seen = self.chunks.take(pa.array(keep)), seen[keep]
+        self.chunks, self.used = chunks.slice(0, 0), 0
+        self.add(chunks, flat, sizes)
+        self.seen[: len(keep)] = seen
+
+
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a copy of at least twice its size if it has no room for n."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class ShardEncoder:
-    """Ids of whole texts as bytes, by the tokenizers library, with a cache of space-separated chunks.
+    """Ids of whole texts by the tokenizers library, which sees each different space-separated chunk once while a worker remembers it.
 
-    Where a byte-level vocabulary splits at spaces, a chunk between two single spaces
-    is encoded alike everywhere; texts with other white space go through the library whole.
+    A byte-level vocabulary cuts a text where white space begins, so what stands between two single spaces is encoded
+    alike wherever it stands. New chunks go to the library many in one text, a line end and a space between two,
+    and the id of the line end tells them apart. Texts with other white space or special tokens go through the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -60,100 +117,86 @@ class ShardEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if hasattr(model := self.tokenizer.model, "_resize_cache"):
-            model._resize_cache(0)  # nearly every word that reaches the library is new
-            self.tokenizer.model = model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
         self.by_chunk = not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.odd = "|".join([ODD_SPACE, *(re.escape(x["content"]) for x in spec["added_tokens"])])
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.width = array(self.code).itemsize
-        self.end = array(self.code, [end_id]).tobytes()
-        self.closing = dict(zip(",.", self.library([",", "."]), strict=True))
-        self.line_end = self.library(["\n"])[0]
-        self.leads = {"\n": self.line_end, "\0": b""}
-        self.newline = int(np.frombuffer(self.line_end, f"<u{self.width}")[0])
-        self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of words of letters, each behind lead (a space or nothing): many in one call, a newline between two."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([lead + f"\n{lead}".join(part)], add_special_tokens=False)[0].ids, self.code)
-            cuts = (np.flatnonzero(ids == self.newline) * self.width).tolist()
-            raw, starts = ids.tobytes(), [0, *(c + self.width for c in cuts)]
-            if len(starts) != len(part):
-                return self.library([lead + w for w in words])
-            out += [raw[a:b] for a, b in zip(starts, [*cuts, len(raw)], strict=True)]
-        return out
-
-    def plain(self, texts: pa.Array) -> pa.Array:
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.dtype).itemsize
+        self.end = np.array([end_id], self.dtype).tobytes()
+        line_end = self.library(["\n"])[0]
+        self.by_chunk = bool(self.by_chunk and len(line_end) == 1)
+        self.line_end = line_end[0]
+        self.known = IdTable(self.dtype)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
         """Which texts have no two white spaces in a row, none but space and newline, and no special token."""
         if not self.by_chunk:
-            return pa.array([False] * len(texts))
-        return pc.invert(pc.match_substring_regex(texts, self.odd))
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that the cache lacks, and of the words inside them.
-
-        A chunk stands behind a space unless it begins with a newline or with NUL, which marks the start of a text.
-        A word of letters, alone or with a comma or a full stop after it, is a word of its own to the
-        vocabulary; anything else goes to the library.
+            return np.zeros(len(texts), bool)
+        return ~pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+
+    def together(self, chunks: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks without white space, each behind lead (a space or nothing), one after the other, and how many each has."""
+        if not len(chunks):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        offsets = pa.array(np.append(np.arange(0, len(chunks), LINES), len(chunks)), pa.int32())
+        rows = pc.binary_join(pa.ListArray.from_arrays(offsets, chunks), f"\n{lead}").to_pylist()
+        ids = np.concatenate([np.append(x, self.line_end) for x in self.library([lead + r for r in rows])]).astype(self.dtype)
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(chunks):
+            raise ValueError("the vocabulary joins line ends with what stands next to them")
+        return ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1
+
+    def learn(self, chunks: pa.Array) -> None:
+        """Adds chunks that the table lacks.
+
+        A chunk stands behind a space unless it begins with a line end or with NUL, which marks the start of a text.
         """
-        out, alpha, closed, lines, rest = {}, [], [], [], []
-        known, older, closing, leads = self.chunks, self.older, self.closing, self.leads
-        for c in chunks:
-            if c in older:
-                out[c] = older[c]
-            elif c.isalpha():
-                alpha.append(c)
-            elif c[-1:] in closing and c[:-1].isalpha():
-                closed.append(c)
-            elif c[:1] in leads and c[1:].isalpha():
-                lines.append(c)
-            else:
-                rest.append(c)
-        inner = {w for c in closed if (w := c[:-1]) not in known and w not in out}
-        alpha += inner.difference(alpha)
-        out.update(zip(alpha, self.words(alpha, " "), strict=True))
-        for c in closed:
-            w = c[:-1]
-            out[c] = (out[w] if w in out else known[w]) + closing[c[-1]]
-        for c, ids in zip(lines, self.words([c[1:] for c in lines], ""), strict=True):
-            out[c] = leads[c[0]] + ids
-        out.update(zip(rest, self.library([c if c[:1] == "\n" else c[1:] if c[:1] == "\0" else " " + c for c in rest]), strict=True))
-        return out
-
-    def ids_of(self, chunks: list[str]) -> list[bytes]:
-        """Ids of different chunks."""
-        found = list(map(self.chunks.get, chunks))
-        missing = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
-        if len(self.chunks) + len(missing) > CACHED:  # what is still in use comes back from the older half
-            self.older, self.chunks = self.chunks, {}
-            found, missing = [None] * len(chunks), chunks
-        learnt = self.learn(missing)
-        out = [learnt[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
-        for c in [c for c in learnt if len(c) > CACHED_CHARS]:
-            del learnt[c]
-        self.chunks.update(learnt)
-        return out
+        line, start = pc.starts_with(chunks, "\n"), pc.starts_with(chunks, "\0")
+        for mark, lead, own in ((line, "", [self.line_end]), (start, "", []), (pc.invert(pc.or_(line, start)), " ", [])):
+            part = chunks.filter(mark)
+            if not len(part):
+                continue
+            bare = part if lead else pc.utf8_slice_codeunits(part, 1)
+            some = pc.not_equal(pc.binary_length(bare), 0)
+            flat, sizes = self.together(bare.filter(some), lead)
+            every = np.zeros(len(part), np.int64)
+            every[some.to_numpy(zero_copy_only=False)] = sizes
+            if own:
+                flat, every = np.insert(flat, np.cumsum(every) - every, own[0]), every + 1
+            if lead and not pc.all(some).as_py():  # a space alone, at the end of a text
+                blank = self.library([" "])[0]
+                at = np.flatnonzero(every == 0)
+                flat, every[at] = np.insert(flat, np.repeat((np.cumsum(every) - every)[at], len(blank)), np.tile(blank, len(at))), len(blank)
+            self.known.add(part, flat, every)
+
+    def numbers_of(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of different chunks in the table."""
+        if len(self.known.chunks) > CACHED:
+            self.known.forget(CACHED // 2)
+        found = self.known.find(chunks)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = chunks.take(pa.array(missing))
+            n = len(self.known.chunks)
+            self.learn(new)
+            found[missing] = n + pc.index_in(new, self.known.chunks.slice(n)).to_numpy()
+        self.known.use(found)
+        return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """For each text its ids and the end id."""
         out: list[bytes] = [b""] * len(texts)
         plain = self.plain(texts)
-        whole = np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist()
+        whole = np.flatnonzero(~plain).tolist()
         for i, ids in zip(whole, self.library([texts[i].as_py() for i in whole]), strict=True):
-            out[i] = ids
-        owners = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
-        rows = pc.binary_join_element_wise("\0", pc.replace_substring(texts.filter(plain), "\n", " \n"), "")
+            out[i] = ids.tobytes()
+        owners = np.flatnonzero(plain)
+        rows = pc.binary_join_element_wise("\0", pc.replace_substring(texts.filter(pa.array(plain)), "\n", " \n"), "")
         ends = np.cumsum(pc.binary_length(rows).to_numpy())
         at = 0
         while at < len(rows):  # about TOGETHER bytes at a time
@@ -169,15 +212,10 @@ class ShardEncoder:
         """Ids of stretches of plain texts, by way of their different chunks."""
         split = pc.split_pattern(parts, " ")
         coded = split.flatten().dictionary_encode()
-        at, ids = coded.indices.to_numpy(), self.ids_of(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width  # fewer than 2^31 ids in a stretch
-        start, flat = (np.cumsum(size) - size).astype(np.int32), np.frombuffer(b"".join(ids), self.code)
-        sizes = size[at]
-        ends = np.cumsum(sizes)
-        places = np.repeat((start[at] - (ends - sizes)).astype(np.int32), sizes)
-        places += np.arange(len(places), dtype=np.int32)
-        raw = flat[places].tobytes()
-        bounds = (np.append(0, ends)[split.offsets.to_numpy()] * self.width).tolist()
+        numbers = self.numbers_of(coded.dictionary)  # may begin a new table
+        ids, sizes = self.known.gather(numbers[coded.indices.to_numpy()])
+        raw = ids.tobytes()
+        bounds = (np.append(0, np.cumsum(sizes))[split.offsets.to_numpy()] * self.width).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
@@ -207,6 +245,20 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
         return x ^ x >> np.uint64(31)
 
 
+def unmixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """The keys that mixed() maps to x."""
+    with np.errstate(over="ignore"):
+        x = x ^ x >> np.uint64(31) ^ x >> np.uint64(62)
+        x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+        x = x ^ x >> np.uint64(27) ^ x >> np.uint64(54)
+        x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+        x = x ^ x >> np.uint64(30) ^ x >> np.uint64(60)
+        return x - np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1)
+
+
+PRINT_SEED = 1 << 16
+
+
 class PerfectHash:
     """A minimal perfect hash of distinct 64-bit keys: about 3 bits a key and a rank for each 64."""
 
@@ -263,10 +315,10 @@ class ShardWriter:
         distinct, first, runs = np.unique(keys, return_index=True, return_counts=True)
         index = PerfectHash.build(distinct.view(np.uint64))
         slots = index.slots(distinct.view(np.uint64))
-        row, prints, run = (np.zeros(len(distinct), t) for t in ("<u4", "<u4", "<u4"))
+        row, prints, run = (np.zeros(len(distinct), t) for t in ("<u4", "<u8", "<u4"))
         row[slots], run[slots] = first + self.n_null, runs
-        prints[slots] = (mixed(distinct.view(np.uint64), 1 << 16) >> np.uint64(32)).astype("<u4")
-        arrays = {"keys": keys, "starts": starts, "bits": index.bits, "row": row, "run": run, "prints": prints}
+        prints[slots] = mixed(distinct.view(np.uint64), PRINT_SEED)
+        arrays = {"starts": starts, "bits": index.bits, "row": row, "run": run, "prints": prints}
         spec = {"width": self.width, "n_null": self.n_null, "sizes": index.sizes, "arrays": {}}
         for name, a in arrays.items():
             raw = a.tobytes()
@@ -288,7 +340,7 @@ class ShardReader:
         n = int.from_bytes(tail[:8], "little")
         spec = json.loads(f.read_at(n, size - 16 - n))
         got = {k: np.frombuffer(f.read_at(m, at), t) for k, (at, m, t) in spec["arrays"].items()}
-        self.keys, self.starts, self.row, self.run, self.prints = (got[k] for k in ("keys", "starts", "row", "run", "prints"))
+        self.starts, self.row, self.run, self.prints = (got[k] for k in ("starts", "row", "run", "prints"))
         self.n_null, self.width, self.index = spec["n_null"], spec["width"], PerfectHash(spec["sizes"], got["bits"])
 
     def __len__(self) -> int:
@@ -299,13 +351,16 @@ class ShardReader:
         raw = np.asarray(keys, np.int64).view(np.uint64)
         slots = self.index.slots(raw)
         ok = slots >= 0
-        ok[ok] = self.prints[slots[ok]] == (mixed(raw[ok], 1 << 16) >> np.uint64(32)).astype("<u4")
+        ok[ok] = self.prints[slots[ok]] == mixed(raw[ok], PRINT_SEED)
         row, run = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
         row[ok], run[ok] = self.row[slots[ok]], self.run[slots[ok]]
-        ok[ok] = self.keys[row[ok] - self.n_null] == np.asarray(keys)[ok]
-        run[~ok] = 0
         return row, run
 
+    def keys(self) -> np.ndarray:
+        """The key of each row that has one, in order, out of the fingerprints."""
+        order = np.argsort(self.row)
+        return np.repeat(unmixed(self.prints[order].astype(np.uint64), PRINT_SEED).view(np.int64), self.run[order])
+
     def ids(self, first: int, count: int = 1) -> np.ndarray:
         """Ids of rows first .. first + count - 1."""
         at, end = int(self.starts[first]), int(self.starts[first + count])
@@ -317,32 +372,85 @@ class ShardReader:
         return [self.ids(int(row[0]) + i) for i in range(int(run[0]))]
 
 
+MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key long, last_key long"
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs as shards below folder in ascending id order. Returns a row per shard: shard, path, n_docs, n_ids."""
+    """Writes docs as shards below folder in ascending id order. Returns a row per shard: shard, path, n_docs, n_ids, first_key, last_key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         system, place = fs.FileSystem.from_uri(folder)
-        name, own = f"{place}/shard-{shard:06d}.ids", f"{place}/.shard-{shard:06d}-{uuid.uuid4().hex}"
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         out = writer = None
         for batch in batches:
             for part in slices(batch, 2048):
                 if writer is None:
                     code = encoder(path, end_id)
                     system.create_dir(place, recursive=True)
-                    out = system.open_output_stream(own)
+                    out = system.open_output_stream(f"{place}/{name}")
                     writer = ShardWriter(out, code.width)
                 for key, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1)), strict=True):
                     writer.add(key, ids)
         if writer:
             writer.close()
             out.close()
-            system.move(own, name)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/shard-{shard:06d}.ids"], "n_docs": [len(writer.lengths)], "n_ids": [sum(writer.lengths)]})
+            ends = [writer.keys[0], writer.keys[-1]] if len(writer.keys) else [None, None]
+            row = {"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [len(writer.lengths)], "n_ids": [sum(writer.lengths)]}
+            yield pa.RecordBatch.from_pydict(row | {n: pa.array([k], pa.int64()) for n, k in zip(("first_key", "last_key"), ends, strict=True)})
 
     rows = keyed_texts(docs, id_col, text_col)
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "shards")
+    dealt = rows.repartitionByRange("doc_id", F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text")
+    shards = stored(dealt.mapInArrow(run, MANIFEST), "shards")
+    drop_others(shards, folder)
+    return shards
+
+
+def drop_others(shards: DataFrame, folder: str) -> None:
+    """Deletes what attempts that did not succeed left in the folder: a name a shard is all that is collected."""
+    spark = shards.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(jpath):
+        good = {r.path.rsplit("/", 1)[-1] for r in shards.select("path").collect()}
+        for status in files.listStatus(jpath):
+            if status.getPath().getName() not in good:
+                files.delete(status.getPath(), False)
+
+
+def lookup(shards: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keyed access over all shards: doc_id, shard, part (from 0, of the documents of a shard that share it), n_tokens, ids. keys: a column of keys; each is looked up once.
+
+    The manifest's key ranges send a key to the shards that may hold it (mostly one); the index does the rest. Ranges meet keys by
+    an equi join over blocks of keys, about four times as many as shards.
+    """
+    wanted = keys.select(F.col(key).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    low, high, n = shards.agg(F.min("first_key"), F.max("last_key"), F.count("*")).first()
+    size = 1 if low is None else (high - low) // (4 * n) + 1
+    block = lambda c: F.floor(F.col(c) / F.lit(size))
+    ranges = shards.filter("first_key IS NOT NULL").select("shard", "path", "first_key", "last_key", F.explode(F.sequence(block("first_key"), block("last_key"))).alias("block"))
+    near = wanted.withColumn("block", block("doc_id")).join(ranges, "block").filter("doc_id BETWEEN first_key AND last_key")
+    names = ["doc_id", "shard", "part", "n_tokens", "ids"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, last, stream = None, None, None
+        for batch in batches:
+            out = []
+            for uri, shard, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if uri != last:
+                    if stream:
+                        stream.close()
+                    system, place = fs.FileSystem.from_uri(uri)
+                    stream = system.open_input_file(place)
+                    reader, last = ShardReader(stream), uri
+                out += [(key, shard, i, ids) for i, ids in enumerate(reader.get(key))]
+            columns = [pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.int32()) for i in (1, 2)), pa.array([len(r[3]) for r in out], pa.int64()), pa.array([r[3].astype(np.int64) for r in out], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        if stream:
+            stream.close()
+
+    met = near.repartition("path").sortWithinPartitions("path", "doc_id").select("path", "shard", "doc_id")
+    return met.mapInArrow(run, "doc_id long, shard int, part int, n_tokens long, ids array<long>")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -357,17 +465,18 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 system, place = fs.FileSystem.from_uri(uri)
                 with system.open_input_file(place) as f:
                     reader = ShardReader(f)
+                    keys = reader.keys()
                     for at in range(0, len(reader), 512):
-                        yield pa.RecordBatch.from_arrays(described(reader, at, min(512, len(reader) - at), base), names=names)
+                        yield pa.RecordBatch.from_arrays(described(reader, keys, at, min(512, len(reader) - at), base), names=names)
 
     n = max(1, shards.count())
     return placed.select("path", "base").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def described(reader: ShardReader, at: int, n: int, base: int) -> list[pa.Array]:
+def described(reader: ShardReader, every_key: np.ndarray, at: int, n: int, base: int) -> list[pa.Array]:
     """Columns of read_shards for n rows from row at; rows with a key are found through the index."""
     nulls = max(0, min(n, reader.n_null - at))
-    keys = reader.keys[at + nulls - reader.n_null : at + n - reader.n_null]
+    keys = every_key[at + nulls - reader.n_null : at + n - reader.n_null]
     first, run = reader.rows_of(keys)
     turn = np.arange(at + nulls, at + n) - first  # which of the rows of its key
     if (run <= turn).any() or (turn < 0).any():
