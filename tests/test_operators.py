@@ -170,7 +170,14 @@ def test_classifiers(spark):
 
 def test_outputs(spark):
     r = one(spark, O.test_run(F.lit("12 examples, 2 failures, 1 pending")))
-    assert (r.framework, r.passed, r.failed, r.pending) == ("rspec", 9, 2, 1)
+    assert (r.framework, r.passed, r.failed, r.pending) == ("rspec", 10, 2, 1)  # pending examples count as passed
+    runs = ["10 examples, 1 failure", "Tests:       2 failed, 1 skipped, 3 passed, 6 total", "test result: FAILED. 5 passed; 1 failed; 0 ignored; finished in 0.1s", "=== 1 failed, 7 passed, 2 skipped in 0.12s ===", "3 passed", "Tests: 4 failed, 4 total"]
+    assert [(r and (r.framework, r.passed, r.failed)) for r in (one(spark, O.test_run(F.lit("log\n" + x + "\nend"))) for x in runs)] == [("rspec", 9, 1), ("jest", 3, 2), ("cargo", 5, 1), ("pytest", 7, 1), ("pytest", 3, 0), None]
+    assert [one(spark, O.commit_sha(F.lit(x))) for x in ("a\n[dev/x 0123abcd] msg", "[note] x", "[detached HEAD 1234567] y")] == ["0123abcd", None, "1234567"]
+    assert [one(spark, O.branch(F.lit(x))) for x in ("On branch main\nclean", "[dev/x 0123abcd] msg", "[detached HEAD 1234567] y", "none")] == ["main", "dev/x", None, None]
+    assert [one(spark, O.switched_branch(F.lit(x))) for x in ("cd a && git switch -c topic && ls", "git checkout main", "git checkout -- file", "git status")] == ["topic", "main", None, None]
+    texts = ['git commit -m "say \\"hi\\" now" && x', "git commit -F - <<'END'\nfirst\n\nsecond\nEND\n", "git commit"]
+    assert [one(spark, O.commit_message(F.lit(x))) for x in texts] == ['say \\"hi\\" now', "first\n\nsecond", None]
     assert one(spark, O.test_run(F.lit("Tests: 1 failed, 4 passed"))).framework == "jest" and one(spark, O.test_run(F.lit("none"))) is None
     assert one(spark, O.commit_sha(F.lit("[main (root-commit) 0123abc] x"))) == "0123abc" and one(spark, O.branch(F.lit("Switched to a new branch 'x/y'"))) == "x/y"
     assert one(spark, O.commit_message(F.lit("git commit -m 'a b'"))) == "a b" and one(spark, O.switched_branch(F.lit("git checkout -b f"))) == "f"
@@ -185,6 +192,9 @@ def test_redaction(spark):
     assert "[ruby code, ~2 lines]" in got and "[identifier]" in got and "[path]" in got
     again = one(spark, R.code_redact(F.lit(got)))
     assert again == got
+    lines = "  return x\n  an indented remark\n\tcall();\nplain `word` and `a_b`, `longlowercaseword`, `two words` and `odd\nsee /usr/lib/x, and/or b.py\n```\ncode\n```\n```\nmore\n```"
+    got = one(spark, R.code_redact(F.lit(lines)))
+    assert got == "[code line]\n  an indented remark\n[code line]\nplain `word` and [identifier], [identifier], `two words` and `odd\nsee [path], and/or [path]\n[code]"
     s = one(spark, R.scrub(F.lit("https://u:p@h/x me@x.org password=abc +49 123 45678 9")))
     assert "u:p" not in s and "me@x.org" not in s and "abc" not in s and one(spark, R.scrub(F.lit(s))) == s
 

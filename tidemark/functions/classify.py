@@ -35,9 +35,15 @@ STEERING: Rules = [
     ("scope", word("only|just|skip|ignore")),
 ]
 IRREVERSIBLE, COSTLY = word("drop|delete|migrate|publish|release"), word("rename|rewrite|refactor|replace")
-#: Marks of proposals: options, then questions. Fixed values.
-OPTIONS: Rules = [("numbered", r"(?i)(option|approach|choice)\s*([0-9]|[A-C])"), ("bold list", r"[0-9]+[.)]\s+\*\*[^*]+\*\*"), ("we could", "(?i)(we could|you could|options are):"), ("several", r"(?i)(here|there) are\s+([0-9]+|several)\s+(options|ways)"), ("weighing", r"(?i)(trade-?offs?|pros and cons|versus)")]
-QUESTIONS: Rules = [("wish", "(?i)(would you (like|prefer)|should (i|we)|how should)"), ("which", "(?i)(which (option|approach)|do you want me to)")]
+#: How a message offers a choice: nouns that take a label, words that count them, phrases before a list, phrases that weigh.
+CHOICES = ("option", "approach", "alternative", "variant", "route", "choice")
+HOW_MANY = ("two", "three", "four", "several", "some", "multiple", "a few", "2", "3", "4", "5")
+OFFERS = ("we could", "you could", "one way", "possible ways", "the alternatives", "the options")
+WEIGHING = ("trade-off", "tradeoff", "pros and cons", "upside", "downside", "versus", " vs ")
+#: How a message asks for a decision.
+ASKING = ("would you like", "would you prefer", "should i ", "should we ", "shall i ", "do you want", "which of ", "which option", "which approach", "what do you think", "how should ", "let me know which")
+#: A choice with its label: a number or one letter.
+LABELLED = f"({'|'.join(CHOICES)}) *#?([0-9]+|[a-e])(?![a-z0-9])"
 
 
 def first_of(c: str | Column, rules: Rules, default: str) -> Column:
@@ -88,17 +94,46 @@ def significance(proposal: str | Column, response: str | Column, domain_name: st
     return F.when((words >= 40) | (weighty & reason), "high").when((words >= 12) | weighty | reason, "medium").otherwise("low")
 
 
+def holds_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
+def offers_options(c: str | Column) -> Column:
+    """Labelled choices, counted choices, a list that an offer opens, items that begin in bold, or words that weigh."""
+    text, lines = F.lower(col(c)), F.split(F.lower(col(c)), "\n")
+    counted = F.rlike(text, F.lit(f"({'|'.join(HOW_MANY)}) ({'|'.join(x + ('es' if x.endswith('ch') else 's') for x in CHOICES)}|ways)"))
+    opened = F.exists(lines, lambda x: F.endswith(F.rtrim(x), F.lit(":")) & holds_any(x, OFFERS))
+    bold = F.exists(lines, lambda x: F.rlike(x, F.lit("^ *[0-9]+[.)] +[*][*]")))
+    return F.rlike(text, F.lit(LABELLED)) | counted | opened | bold | holds_any(text, WEIGHING)
+
+
+LEVELS = ("low", "medium", "high")
+#: Significance by what kind of decision an exchange was; other kinds are low.
+LEVEL_OF_DECISION = {"strategic_redirect": "high", "product_insight": "high", "technical_catch": "medium"}
+
+
+def escalated(level: str | Column) -> Column:
+    """The next level up; the highest and unknown ones stay."""
+    return F.when(col(level) == "low", "medium").when(col(level) == "medium", "high").otherwise(col(level))
+
+
+def significance_of_decision(kind: str | Column) -> Column:
+    levels = F.create_map(*[F.lit(x) for kv in LEVEL_OF_DECISION.items() for x in kv])
+    return F.coalesce(F.try_element_at(levels, col(kind)), F.lit("low"))
+
+
 def proposal_type(c: str | Column) -> Column:
     """options, then question; null for neither."""
-    any_of = lambda rules: F.rlike(col(c), F.lit("|".join(p for _, p in rules)))
-    return F.when(any_of(OPTIONS), "options").when(any_of(QUESTIONS), "question")
+    return F.when(offers_options(c), "options").when(holds_any(F.lower(col(c)), ASKING), "question")
 
 
 def option_count(c: str | Column) -> Column:
-    """Bullets or numbered lines, else labels; null below two."""
-    bullets = F.regexp_count(col(c), F.lit(r"(?m)^\s*([-*]|[0-9]+[.)])\s+"))
-    labels = F.regexp_count(col(c), F.lit(r"(?i)(option|approach|choice)\s*([0-9]|[A-C])"))
-    n = F.when(bullets >= 2, bullets).otherwise(labels)
+    """Items of lists (bullets, numbers, letters), else labelled choices; null below two."""
+    items = F.size(F.filter(F.split(col(c), "\n"), lambda x: F.rlike(F.ltrim(x), F.lit("^([-*]|[0-9]+[.)]|[A-E][.)]) "))))
+    n = F.when(items >= 2, items).otherwise(F.regexp_count(F.lower(col(c)), F.lit(LABELLED)))
     return F.when(n >= 2, n)
 
 
@@ -111,7 +146,8 @@ def novel_words(response: str | Column, proposal: str | Column, least: int = 4)
 
 def counter_proposal(response: str | Column, proposal: str | Column) -> Column:
     """An answer to options that names none of them and brings three new words or a reversal."""
-    names_option = F.rlike(col(response), F.lit(r"(?i)(option|approach|choice)\s*([0-9]|[A-C])"))
+    ordinal = f"(first|second|third|last|former|latter) ({'|'.join(CHOICES)}|one)"
+    names_option = F.rlike(F.lower(col(response)), F.lit(f"{LABELLED}|{ordinal}"))
     return (proposal_type(proposal) == "options") & ~names_option & ((F.size(novel_words(response, proposal)) >= 3) | F.rlike(col(response), F.lit(CORRECTIONS)))
 
 

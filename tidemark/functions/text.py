@@ -5,6 +5,8 @@ Regular expressions state their flags themselves ((?s), (?m), (?i)) and use no \
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once, however often f names it: a plan that repeats c grows with every step."""
+    return F.transform(F.array(c), f)[0]
+
+
 def truncate(c: str | Column, n: int, omission: str = "...") -> Column:
     """At most n characters, the omission mark included."""
     c = col(c)

@@ -11,13 +11,20 @@ from .aggregates import ratio
 LANGUAGES = {".rb": "ruby", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust", ".java": "java"}
 TESTS, EVALS = r"(^|/)(tests?|spec|__tests__)/|_test\.|\.test\.|_spec\.", r"(^|/)evals?/"
 CONVENTIONAL = r"^(feat|fix|docs|style|refactor|test|chore|perf|ci|build|revert)[(:]"
-#: Occurrence patterns of error handling: language, specific handlers, all handlers.
-HANDLERS = [("ruby", r"rescue\s+[A-Z]\w+", r"rescue(\s|$)"), ("python", r"except\s+[A-Z]\w+", r"except[\s:]"), ("javascript", r"instanceof\s+\w*Error", r"catch\s*\("), ("typescript", r"instanceof\s+\w*Error", r"catch\s*\(")]
-GENERIC = {"ruby": r"rescue\s+(StandardError|Exception)", "python": r"except\s+Exception"}
+#: Language, the word with which a handler's line begins, and the classes that make it generic.
+HANDLERS = {"ruby": ("rescue", ("StandardError", "Exception")), "python": ("except", ("Exception", "BaseException"))}
+BRACED = ("javascript", "typescript")
 FLAGS = {
     "caches": r"(?i)cache|memoiz", "batches": r"(?i)batch|in_groups|find_each", "health_check": r"(?i)/health|healthz|readiness", "logging": r"(?i)logger\.|logging\.", "monitoring": r"(?i)sentry|opentelemetry|prometheus", "feature_flags": r"(?i)feature_?flag", "retries": r"(?i)retry|backoff",
 }
-SECURITY = {"eval": r"(^|[^A-Za-z0-9_])eval\(", "raw_sql": r"(?i)execute\(\s*[\"'].*(select|insert|update|delete)", "shell": r"shell\s*=\s*True|os\.system\(", "parameterised": r"\?\s*,|:\w+\s*=>"}
+SQL_WORDS, SECRET_NAMES, SHELL_CALLS = ("where", "select", "execute", "query", "find_by_sql"), ("password", "passwd", "secret", "api_?key", "token"), ("exec", "system", "popen", "spawn")
+#: Marks of risk: calls of eval and of a shell, texts of SQL with a value put in, names of secrets with a literal of eight characters or more.
+SECURITY = {
+    "eval": r"(^|[^A-Za-z0-9_])eval *\(",
+    "shell": rf"(^|[^A-Za-z0-9_])({'|'.join(SHELL_CALLS)}) *\(",
+    "sql_interpolation": rf"(?i)(^|[^a-z0-9_])({'|'.join(SQL_WORDS)}) *\( *f?[\"'][^\"'\n]*[#$]?\{{",
+    "hardcoded_secret": rf"(?i)({'|'.join(SECRET_NAMES)})[a-z0-9_]* *[:=]+ *[\"'][^\"'\n]{{8,}}[\"']",
+}
 
 
 def commit_discipline(files: DataFrame) -> DataFrame:
@@ -59,19 +66,33 @@ def file_lengths(files: DataFrame) -> DataFrame:
 
 
 def error_handling(files: DataFrame) -> DataFrame:
-    """Handlers, specific ones (those for the broadest class count as generic; never below 0) and files, by language."""
-    c, out = classified(files), None
-    count = lambda p: F.regexp_count("content", F.lit(p))
-    for language, specific, every in HANDLERS:
-        exact = F.greatest(count(specific) - (count(GENERIC[language]) if language in GENERIC else 0), F.lit(0))
-        part = c.filter(F.col("language") == language).agg(F.lit(language).alias("language"), F.coalesce(F.sum(count(every)), F.lit(0)).alias("handlers"), F.coalesce(F.sum(exact), F.lit(0)).alias("specific"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    """Handlers, specific and generic ones, by language; a handler without a class or for the broadest one is generic.
+
+    Ruby and Python handlers are lines that begin with their word. Braced languages catch what was thrown by name: all theirs are specific.
+    """
+    lines = F.transform(F.split("content", "\n"), F.ltrim)
+
+    def of(word: str) -> Column:
+        """The class that each handler line names, empty without one."""
+        rest = lambda x: F.substring(x, F.lit(len(word) + 1), F.length(x))
+        hits = F.filter(lines, lambda x: F.startswith(x, F.lit(word)) & F.rlike(F.concat(rest(x), F.lit("\n")), F.lit("^[^A-Za-z0-9_]")))
+        return F.transform(hits, lambda x: F.regexp_extract(rest(x), "^[ (]*([A-Z][A-Za-z0-9_.]*(::[A-Za-z0-9_.]+)*)", 1))
+
+    found, n_all, n_generic = classified(files).filter("content IS NOT NULL"), F.lit(0), F.lit(0)
+    for language, (word, broad) in HANDLERS.items():
+        mine = F.col("language") == language
+        n_all = F.when(mine, F.size(of(word))).otherwise(n_all)
+        named = F.array(F.lit(""), *map(F.lit, broad))
+        n_generic = F.when(mine, F.size(F.filter(of(word), lambda x: F.array_contains(named, x)))).otherwise(n_generic)  # noqa: B023
+    n_all = F.when(F.col("language").isin(*BRACED), F.regexp_count("content", F.lit(r"catch *\( *[A-Za-z_$][A-Za-z0-9_$]* *\)"))).otherwise(n_all)
+    rows = found.filter(F.col("language").isin(*HANDLERS, *BRACED)).select("language", n_all.alias("a"), n_generic.alias("g"))
+    sums = rows.groupBy("language").agg(F.sum("a").alias("handlers"), F.sum("g").alias("generic"))
+    return sums.select("language", "handlers", (F.col("handlers") - F.col("generic")).alias("specific"), "generic", ratio(F.col("generic"), F.col("handlers")).alias("generic_ratio"))
 
 
 def occurrences(files: DataFrame, patterns: dict[str, str] = SECURITY) -> DataFrame:
-    """How often each pattern occurs in all files, in one pass."""
-    return files.agg(*[F.coalesce(F.sum(F.regexp_count("content", F.lit(p))), F.lit(0)).alias(n) for n, p in patterns.items()])
+    """How often each pattern occurs in all files but tests, in one pass."""
+    return classified(files).filter("kind <> 'test'").agg(*[F.coalesce(F.sum(F.regexp_count("content", F.lit(p))), F.lit(0)).alias(n) for n, p in patterns.items()])
 
 
 def flags(files: DataFrame, patterns: dict[str, str] = FLAGS) -> DataFrame:
@@ -115,16 +136,35 @@ def tool_summary(name: Column, input_json: Column) -> Column:
     return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "[Tool: <unknown>(<no input>)]").otherwise(F.concat(F.lit("[Tool: "), F.trim(name), F.lit("("), body, F.lit(")]")))
 
 
+#: Words with which a stored output announces itself. Fixed values of the log format.
+STORED_OPEN, STORED_CLOSE, STORED_SIZE, STORED_AT = "<persisted-output>", "</persisted-output>", "Output too large (", "tool-results/"
+
+
+def between(text: Column, left: str, right: str) -> Column:
+    """What stands between the first left mark and the next right one; null if either is missing."""
+    at = F.locate(left, text)
+    rest = F.substring(text, at + len(left), F.length(text))
+    return F.when((at > 0) & F.contains(rest, F.lit(right)), F.substring_index(rest, right, 1))
+
+
 def output_marker(text: Column, sizes: Column | None = None) -> Column:
     """Marker of a tool result's size: of a stored output by its file (sizes: map of file name to bytes), else by its header; null for blank results."""
-    body = F.regexp_extract(text, r"(?s)<persisted-output>(.*?)</persisted-output>", 1)
-    file, hint = F.regexp_extract(body, r"saved to:.*?tool-results/(\S+\.txt)", 1), F.regexp_extract(body, r"Output too large \(([^)]+)\)", 1)
+    body = between(text, STORED_OPEN, STORED_CLOSE)
+    file = F.split(F.concat(between(body, STORED_AT, ".txt"), F.lit(".txt")), r"\s")[0]
     known = F.lit(None).cast("string") if sizes is None else F.try_element_at(sizes, file).cast("string")
-    stored = F.when(known.isNotNull(), F.concat(known, F.lit(" bytes"))).when(hint != "", F.concat(F.lit("~"), hint)).otherwise("persisted")
-    size = F.when(F.contains(text, F.lit("<persisted-output>")), stored).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(" bytes")))
+    stored = F.coalesce(F.concat(known, F.lit(" bytes")), F.concat(F.lit("~"), between(body, STORED_SIZE, ")")), F.lit("persisted"))
+    size = F.when(body.isNotNull(), stored).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(" bytes")))
     return F.when(F.trim(text) != "", F.concat(F.lit("[ToolResult: "), size, F.lit("]")))
 
 
+def without_stored_output(text: Column) -> Column:
+    """A message without the stored outputs that it quotes: each becomes a mark of its size."""
+    pieces = F.split(text, STORED_OPEN)
+    note = lambda p: F.concat(F.lit("[PersistedOutput: "), F.coalesce(F.concat(F.lit("~"), between(p, STORED_SIZE, ")")), F.lit("persisted")), F.lit("]"), F.substring(p, F.locate(STORED_CLOSE, p) + len(STORED_CLOSE), F.length(p)))
+    made = F.transform(pieces, lambda p, i: F.when(i == 0, p).when(F.contains(p, F.lit(STORED_CLOSE)), note(p)).otherwise(F.concat(F.lit(STORED_OPEN), p)))
+    return F.when(F.contains(text, F.lit(STORED_OPEN)), F.array_join(made, "")).otherwise(text)
+
+
 def with_parent_header(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """Chunks of sub-sessions with a header from their parent's prompt. chunks: session, parent_id, pos, chunk; parents: parent_id, prompt."""
     rows = chunks.join(parents.select("parent_id", "prompt"), "parent_id", "left")
