@@ -8,8 +8,8 @@ from tidemark.llm import ann
 
 
 def test_small_lists(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST", 5)
-    monkeypatch.setattr(ann.Lists, "tuned", lambda self, sample, x: 1.5)
+    monkeypatch.setattr(ann, "SHELF", 30)
+    monkeypatch.setattr(ann.Lists, "tuned", lambda self, sample: 1.5)
     x = np.random.default_rng(3).normal(size=(80, 16))
     x /= np.sqrt((x**2).sum(1, keepdims=True))
     rows = [(i, x[i % 80].tolist()) for i in range(400)]
