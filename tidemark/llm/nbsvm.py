@@ -1,13 +1,15 @@
 """Quality classifier: n-gram indicators scaled by Naive Bayes log-count ratios, then a linear SVM (operator 1).
 
-Features of a text are indicators of n-grams over two alphabets: byte classes (case,
-digit, each mark, other letter) and word forms (first and last class, and whether the
-word repeats one of the two before it). Every indicator is scaled by the log ratio of its
+Features of a text are indicators of n-grams over three alphabets: byte classes (case,
+digit, each mark, other letter), word forms (first and last class, and whether the
+word repeats one of the two before it) and the words themselves, folded (words and pairs that
+few training texts hold count nothing). Every indicator is scaled by the log ratio of its
 smoothed counts in both classes; a hinge-loss model is fitted to the scaled vectors by
-dual coordinate descent; a sigmoid maps margins to scores.
+dual coordinate descent; a sigmoid maps margins to scores, fitted as if both classes were equally frequent.
 
 The model is fitted on at most TRAIN_ROWS labelled rows of each class (those with the least hash
-of doc_id), never on held-out ones. Scoring reads every whole text in linear time.
+of doc_id, one row of an id), never on held-out ones. Scoring reads every whole text in linear time, a pass of
+PASS_BYTES at a time; features do not depend on where passes end.
 
 Defined cases: null or empty text has no n-gram and gets the score of the bias alone;
 null labels are no labels; a doc_id with several labels takes the least; without labels of
@@ -28,8 +30,10 @@ from .common import keyed_texts, slices
 
 #: The most labelled rows of each class that a model is fitted on.
 TRAIN_ROWS = 3000
-BYTE_BITS, WORD_BITS = 16, 16
-DIM = (1 << BYTE_BITS) + (1 << WORD_BITS)
+BYTE_BITS, WORD_BITS, LEXICAL_BITS = 16, 16, 18
+DIM = (1 << BYTE_BITS) + (1 << WORD_BITS) + (1 << LEXICAL_BITS)
+#: Training texts that a word or pair of words must stand in to count.
+LEAST_TEXTS = 10
 #: Bytes of a text that one numpy pass handles.
 PASS_BYTES = 1 << 20
 
@@ -61,44 +65,88 @@ def ngram_indices(symbols: np.ndarray, longest: int, bits: int, salt: int) -> li
     return [hashed([symbols[i : len(symbols) - n + 1 + i] for i in range(n)], salt + n, bits) for n in range(1, longest + 1) if len(symbols) >= n]
 
 
-def word_forms(raw: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """A symbol for each word between white space: first and last class, second byte upper or not, and repetition."""
-    blank = (classes == 5) | (classes == 6)
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))])
-    lower = np.where(classes == 2, raw + 32, raw).astype(np.uint64)
-    lower[blank] = 0
-    with np.errstate(over="ignore"):
-        mixed = (lower + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
-        mixed ^= mixed >> np.uint64(29)
-        mixed[blank] = 0
-        words = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts)
-    again = np.zeros(len(words), np.uint64)
-    again[1:] |= (words[1:] == words[:-1]).astype(np.uint64)
-    again[2:] |= (words[2:] == words[:-2]).astype(np.uint64) << np.uint64(1)
-    second = classes[np.minimum(starts + 1, ends)] == 2
-    return (classes[starts] | classes[ends] << np.uint32(6) | second.astype(np.uint32) << np.uint32(12)).astype(np.uint64) | again << np.uint64(13)
-
-
-def passes(text: str) -> Iterator[np.ndarray]:
-    """The text's bytes in stretches of a bounded size that overlap by a few bytes and start after white space where they can."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    for at in range(0, max(len(raw), 1), PASS_BYTES):
-        yield raw[max(0, at - 64) : at + PASS_BYTES]
+class Words:
+    """Words between white space as they come pass by pass: a word that a pass cuts is put together again.
+
+    feed() gives, for the words that have ended, their form (first and last class, second byte upper or not, and whether the word
+    repeats one of the two before it) and a hash of their folded bytes.
+    """
+
+    def __init__(self):
+        self.open: tuple | None = None  # first class, second byte upper, hash, bytes, last class of a word that has not ended
+        self.before = np.zeros(0, np.uint64)  # hashes of the last two words
+
+    def feed(self, raw: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blank = (classes == 5) | (classes == 6)
+        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
+        runs = np.diff(np.append(starts, len(raw)))
+        lead = int(starts[0]) if len(starts) else len(raw)
+        place = np.arange(len(raw)) - np.concatenate([np.zeros(lead, np.int64), np.repeat(starts, runs)])
+        joins = self.open is not None and lead == 0 and len(raw) > 0
+        if joins:
+            place[: runs[0]] += self.open[3]
+        lower = np.where(classes == 2, raw + 32, raw).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            mixed = (lower + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+            mixed ^= mixed >> np.uint64(29)
+            mixed[blank] = 0
+            words = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts) if len(starts) else np.zeros(0, np.uint64)
+            first, last, second = classes[starts], classes[ends], classes[np.minimum(starts + 1, ends)] == 2
+            if joins:
+                f, s, h, n, _ = self.open
+                words[0] += h
+                first[0], second[0] = f, (classes[0] == 2) if n == 1 else s
+            elif self.open is not None:
+                f, s, h, _, e = self.open
+                words, first, last, second = (np.concatenate([[x], y]).astype(y.dtype) for x, y in ((h, words), (f, first), (e, last), (s, second)))
+        if len(ends) and ends[-1] == len(raw) - 1:
+            n = int(ends[-1] - starts[-1]) + 1 + (self.open[3] if joins and len(starts) == 1 else 0)
+            self.open = (first[-1], second[-1], words[-1], n, last[-1])
+            words, first, last, second = words[:-1], first[:-1], last[:-1], second[:-1]
+        elif len(raw):
+            self.open = None
+        return self.forms(words, first, last, second), words
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """What feed() gives for the last word."""
+        if self.open is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        f, s, h, _, e = self.open
+        words = np.array([h], np.uint64)
+        return self.forms(words, np.array([f], np.uint32), np.array([e], np.uint32), np.array([s])), words
+
+    def forms(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, second: np.ndarray) -> np.ndarray:
+        every = np.concatenate([self.before, words])
+        again = np.zeros(len(every), np.uint64)
+        again[1:] |= (every[1:] == every[:-1]).astype(np.uint64)
+        again[2:] |= (every[2:] == every[:-2]).astype(np.uint64) << np.uint64(1)
+        again = again[len(self.before) :]
+        self.before = every[-2:]
+        return (first | last << np.uint32(6) | second.astype(np.uint32) << np.uint32(12)).astype(np.uint64) | again << np.uint64(13)
+
+
+#: Longest n-grams of bytes, word forms and words.
+BYTE_GRAMS, FORM_GRAMS, WORD_GRAMS = 3, 4, 2
 
 
 def features(text: str) -> np.ndarray:
-    """Distinct feature indices of a whole text."""
-    seen = None
-    for raw in passes(text):
-        classes = CLASSES[raw]
-        found = ngram_indices(classes.astype(np.uint64), 3, BYTE_BITS, 1)
-        found += [x + (1 << BYTE_BITS) for x in ngram_indices(word_forms(raw, classes), 4, WORD_BITS, 11)]
-        part = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        seen = part if seen is None else distinct(np.concatenate([seen, part]))
+    """Distinct feature indices of a whole text, wherever passes cut it: what an n-gram needs of the pass before is carried over."""
+    raw, seen, stream = np.frombuffer(text.encode("utf-8", "replace"), np.uint8), None, Words()
+    tails = [np.zeros(0, np.uint64)] * 3
+    for at in range(0, max(len(raw), 1), PASS_BYTES):
+        part = raw[at : at + PASS_BYTES]
+        classes = CLASSES[part]
+        forms, words = stream.feed(part, classes)
+        if at + PASS_BYTES >= len(raw):
+            forms, words = (np.concatenate(x) for x in zip((forms, words), stream.close(), strict=True))
+        found, first = [], 0
+        for i, (new, longest, bits, salt) in enumerate(((classes.astype(np.uint64), BYTE_GRAMS, BYTE_BITS, 1), (forms, FORM_GRAMS, WORD_BITS, 11), (words, WORD_GRAMS, LEXICAL_BITS, 21))):
+            symbols = np.concatenate([tails[i], new]) if len(tails[i]) else new
+            found += [x + first for x in ngram_indices(symbols, longest, bits, salt)]
+            tails[i], first = symbols[-(longest - 1) :], first + (1 << bits)
+        got = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        seen = got if seen is None else distinct(np.concatenate([seen, got]))
     return seen
 
 
@@ -133,7 +181,11 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, alpha: float =
     counts = [np.full(DIM, alpha) for _ in range(2)]
     for f, y in zip(rows, labels, strict=True):
         counts[int(y > 0)][f] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    rare = counts[0] + counts[1] - 2 * alpha < LEAST_TEXTS
+    rare[: DIM - (1 << LEXICAL_BITS)] = False
+    ratios[rare] = 0
+    return ratios
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: np.ndarray, rounds: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -160,14 +212,15 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
 
 
 def sigmoid_fit(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over margins, with smoothed targets (Newton steps)."""
+    """Slope and offset of a logistic curve over margins, with smoothed targets (Newton steps). Both classes count alike, however many rows each has."""
     n1 = float((labels > 0).sum())
     n0 = len(labels) - n1
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(labels > 0, len(labels) / 2 / n1, len(labels) / 2 / n0)
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g, h = p - target, np.maximum(p * (1 - p), 1e-9)
+        g, h = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-9)
         grad = np.array([g @ margins, g.sum()])
         hess = np.array([[h @ margins**2 + 1e-6, h @ margins], [h @ margins, h.sum() + 1e-6]])
         step = np.linalg.solve(hess, grad)
@@ -201,10 +254,16 @@ def training_ids(labels: DataFrame, target: str, learn: F.Column, limits: tuple[
     return part(0).unionAll(part(1))
 
 
+def training_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, y, text of the ids that documents hold, one row of an id (the least text), so that as many texts as ids are fetched."""
+    found = keyed_texts(docs).join(F.broadcast(ids), "doc_id")  # ids are bounded by the limits of the fit
+    return found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int = 5, held_out: int = 0, limit: int = TRAIN_ROWS) -> Model:
     """Learns from the labelled documents whose crc32(doc_id) mod `mod` is not held_out; at most limit of each class."""
     ids = training_ids(labels, target, remainder("doc_id", mod) != held_out, (limit, limit))
-    texts = keyed_texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * limit ids
+    texts = training_texts(docs, ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
