@@ -15,10 +15,12 @@ suffixes of a text travel as runs ("chunks") of about a dozen:
    bytes themselves, eight at a time, to depth DEPTH.
 3. The covered suffixes come back to their documents, and the bytes that they cover are removed.
 
-Every block of documents keeps only the least document of equal chunks before the shuffle, and a key with
-more than HOT different chunks is dealt by the hash of each single suffix instead of by the key, again
+Every block of documents keeps only the least document of equal chunks before the shuffle. A key that a sample of the
+documents finds in more chunks than a quarter of a bucket is hot: its chunks are dealt by key and digest, so that no bucket has to hold them
+all, and what is left of them goes to stage 2 without a look at the others. There the chunks of hot keys, and of keys with
+more than HOT different chunks in a bucket, are dealt by the hash of each single suffix instead of by the key, again
 reduced to the least document of a block first: a passage in a third of all documents costs a
-row for each block. Whole chunks are compared by at least 80 bits of two hashes (the bucket adds more as the data
+row for each block. The sample decides only which way chunks go, never what is found. Whole chunks are compared by at least 80 bits of two hashes (the bucket adds more as the data
 grows), single suffixes byte by byte.
 
 Defined cases: a null text is empty; texts shorter than DEPTH bytes keep everything; a null doc_id counts as
@@ -44,6 +46,8 @@ HOT = 20_000
 #: Bytes of documents that one block packs together; of text for a bucket at most, and at least where that gives no SPREAD buckets; of a text that one numpy pass hashes.
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BYTES, STRETCH = 8 << 20, 16 << 20, 512 << 10, 1 << 20
 SPREAD = 128
+#: One document of so many is looked at for hot keys; the most hot keys that are told to the workers; bytes of text for each chunk, about.
+SAMPLED, HOT_KEYS, CHUNK_BYTES = 64, 100_000, 12
 NO_ID = (1 << 63) - 1
 U = np.uint64
 M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
@@ -210,7 +214,39 @@ def first_of_equal(keys: np.ndarray, same: np.ndarray, doc: np.ndarray) -> np.nd
 
 
 def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> U(48)) * U(buckets) >> U(16)).astype(np.int32)
+    """The bucket of each key, by its high bits; fewer than 2^31 buckets."""
+    return ((keys >> U(33)) * U(buckets) >> U(31)).astype(np.int32)
+
+
+def held(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each key is among the hot ones (sorted)."""
+    if not len(hot):
+        return np.zeros(len(keys), bool)
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+
+
+LOW = U((1 << 48) - 1)
+
+
+def common_keys(block: int, stretch: int):
+    """By block of documents: keys with the number of their chunks, those that occur again."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, block):
+            keys, n = np.unique(np.concatenate([Chunks(np.frombuffer(t, np.uint8), stretch).keys for _, _, t in rows]), return_counts=True)
+            some = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], names=["key", "n"])
+
+    return run
+
+
+def hot_keys(core: DataFrame, size: int, block: int, stretch: int, sampled: int = SAMPLED) -> np.ndarray:
+    """Keys that more chunks have than a quarter of a bucket of `size` bytes of text, as a sample of documents tells; the most frequent HOT_KEYS at most."""
+    some = core.filter(F.pmod(F.xxhash64("doc", "tag"), F.lit(sampled)) == 0)
+    counts = some.mapInArrow(common_keys(block, stretch), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    least = max(2, size // CHUNK_BYTES // 4 // sampled)
+    found = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()
+    return np.sort(np.array([r.key for r in found], np.int64).view(np.uint64))
 
 
 def refine(rows: np.ndarray, group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +265,7 @@ def least_by(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def cut_chunks(buckets: int, block: int, stretch: int):
+def cut_chunks(buckets: int, block: int, stretch: int, hot: np.ndarray):
     """Stage 1, by block of documents: packed (key, digest, number in its text) of every chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +284,14 @@ def cut_chunks(buckets: int, block: int, stretch: int):
             doc, tag, number, keys, digests = (a[kept] for a in (doc, tag, number, keys, digests))
             low = keys.view(np.uint8).reshape(-1, 8)
             pack = lambda rows: packed(doc[rows], tag[rows], [(number[rows], True), (digests[rows], False)]) + np.ascontiguousarray(low[rows, :6]).tobytes()  # noqa: E731, B023
-            yield blob_rows(list(dealt(key_bucket(keys, buckets), pack)))
+            dealt_by = np.where(held(keys, hot), mix(keys ^ digests.astype(np.uint64) * M2), keys)
+            yield blob_rows(list(dealt(key_bucket(dealt_by, buckets), pack)))
 
     return run
 
 
-def equal_chunks(key: tuple, table: pa.Table, hot: int = HOT) -> pa.Table:
-    """Stage 1, by bucket: covered chunks, and the chunks left in keys of several documents."""
+def equal_chunks(key: tuple, table: pa.Table, hot: int, hot_low: np.ndarray) -> pa.Table:
+    """Stage 1, by bucket: covered chunks, and the chunks left in keys of several documents. hot_low: the low bits of hot keys, sorted; they count as keys of several."""
     schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("data", pa.binary())])
     if key[0].as_py() < 0:
         return table.select(["kind", "doc", "tag", "data"])
@@ -268,8 +305,12 @@ def equal_chunks(key: tuple, table: pa.Table, hot: int = HOT) -> pa.Table:
     doc, tag, number, digest, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts, table
     rows, group = np.arange(len(doc)), np.zeros(len(doc), np.int64)
+    spread = held(keys, hot_low)
+    lone = np.flatnonzero(spread)  # a hot key's only chunk here still has others elsewhere
     for shift in (32, 16, 0):
         rows, group = refine(rows, group, (keys[rows] >> U(shift) & U(0xFFFF)).astype(np.uint16))
+    lone = np.setdiff1d(lone, rows, assume_unique=True)
+    rows, group = np.concatenate([rows, lone]), np.concatenate([group, (group.max() + 1 if len(group) else 0) + np.arange(len(lone))])
     if not len(rows):
         return schema.empty_table()
     d = doc[rows]
@@ -283,8 +324,8 @@ def equal_chunks(key: tuple, table: pa.Table, hot: int = HOT) -> pa.Table:
     n = group.max() + 1
     several = least_by(group, doc[left], n) < -least_by(group, -doc[left], n)
     size = np.bincount(group, minlength=n)
-    values = number[left] | np.where(size[group] > hot, HOT_BIT, np.uint32(0))
-    shared = several[group]
+    values = number[left] | np.where((size[group] > hot) | spread[left], HOT_BIT, np.uint32(0))
+    shared = several[group] | spread[left]
     out = [by_document(doc[rows[covered]], tag[rows[covered]], number[rows[covered]], COVERED), by_document(doc[left[shared]], tag[left[shared]], values[shared], SHARED)]
     return pa.Table.from_batches(out, schema)
 
@@ -384,7 +425,7 @@ def tagged(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     return named.select("doc", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("tag"), "text", *extra)
 
 
-def remove_repeats(docs: DataFrame, extra: list[str] = (), as_text: bool = False, hot: int = HOT, block: int = BLOCK_BYTES, stretch: int = STRETCH) -> DataFrame:
+def remove_repeats(docs: DataFrame, extra: list[str] = (), as_text: bool = False, hot: int = HOT, block: int = BLOCK_BYTES, stretch: int = STRETCH, sampled: int = SAMPLED) -> DataFrame:
     """Every row: doc_id, n_bytes, kept, starts and ends (of the maximal removed runs, in bytes), the extra columns.
 
     kept holds the bytes that stay or, as_text, a string without the characters that lost some of their bytes.
@@ -392,9 +433,11 @@ def remove_repeats(docs: DataFrame, extra: list[str] = (), as_text: bool = False
     rows = tagged(docs, list(extra))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = min(BUCKET_BYTES, max(LEAST_BYTES, total // SPREAD))
-    buckets = int(min(max(1, -(-total // size)), 1 << 16))
+    buckets = int(min(max(1, -(-total // size)), (1 << 31) - 1))
     core = rows.select("doc", "tag", "text")
-    found = stored(core.mapInArrow(cut_chunks(buckets, block, stretch), DEALT).groupBy("bucket").applyInArrow(lambda k, t: equal_chunks(k, t, hot), FOUND), "chunks")
+    common = hot_keys(core, size, block, stretch, sampled)
+    low = np.unique(common & LOW)
+    found = stored(core.mapInArrow(cut_chunks(buckets, block, stretch, common), DEALT).groupBy("bucket").applyInArrow(lambda k, t: equal_chunks(k, t, hot, low), FOUND), "chunks")
     shared = found.filter(F.col("kind") == SHARED).groupBy("doc", "tag").agg(F.collect_list("data").alias("shared")).hint("shuffle_hash")
     sent = rows.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "shared").mapInArrow(send_bytes(buckets, block, stretch), DEALT)
     single = sent.groupBy("bucket").applyInArrow(equal_suffixes, FOUND)
@@ -431,5 +474,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     plain = {c: f"_extra_{i}" for i, c in enumerate(others)}  # whatever the extra columns are called
     cut = remove_repeats(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in plain.items()]), list(plain.values()), as_text=True)
-    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long"), **{c: F.col(n) for c, n in plain.items()}}
+    kinds = {f.name: f.dataType for f in docs.schema}
+    made = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("kept"), "n_chars": F.length("kept").cast(kinds.get("n_chars", "long")), **{c: F.col(n) for c, n in plain.items()}}
     return cut.select(*[made[c].alias(c) for c in docs.columns])
