@@ -8,7 +8,7 @@ query to all members at once and gives up as soon as every member exceeds the ra
 Each member is a query once and is reached once, so a bucket of m gives at most
 m - 1 links, never all pairs.
 
-A bucket of more than BUCKET fingerprints goes another exact way: two fingerprints
+A bucket of more than BUCKET fingerprints, which a count finds before any is dealt, goes another exact way: two fingerprints
 are within distance 2 just when they share a word within distance 1 of both, so each
 is listed under its 65 such words and linked to the least one listed there.
 
@@ -128,12 +128,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     masks = block_masks(radius)
     free = [[b for b in range(64) if not m >> b & 1] for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
+    listed = distinct.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp")
+    full = stored(listed.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("t", "k"), "full-buckets")
+    large = None
+    if not full.isEmpty():  # counted here, so that no task meets such a bucket
+        large = listed.join(full, ["t", "k"], "left_semi").select("fp").distinct()
+        listed = listed.join(full, ["t", "k"], "left_anti")
+    dealt = listed.repartition("t", "k").sortWithinPartitions("t", "k")
 
     def flush(t: int, members: np.ndarray, out: list) -> None:
-        if len(members) > bucket:
-            out += [(int(x), None) for x in members]
-        elif len(members) > 1:
+        if len(members) > 1:
             out += [(signed(a), signed(b)) for a, b in bucket_links([int(x) & MASK for x in members], free[t], radius)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +164,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     found = stored(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
-    large = found.filter("b is null").select(F.col("a").alias("fp"))
-    return found.filter("b is not null").unionAll(shared_words(large, radius))
+    return found if large is None else found.unionAll(shared_words(large, radius))
 
 
 def shared_words(fps: DataFrame, radius: int) -> DataFrame:
