@@ -9,18 +9,19 @@ document; hits of one item on nearby diagonals make one candidate; Myers' bit-pa
 many candidates at a time, gives the least edit distance of the whole item to any passage there.
 
 The benchmark goes to the workers in blocks of at most BLOCK characters; a larger benchmark takes more
-passes over the documents, never a larger block. Documents are not shuffled.
+passes over the documents, never a larger block. A worker keeps the machine of a block for its next tasks. Distances are computed
+for as many candidates together as fit DISTANCE_BYTES. Documents are not shuffled.
 
 Defined cases: null or empty texts match nothing, nor do items that are empty once normalised;
 items shorter than MIN_CHARS allow no edits; items with the same text are matched each; repeated
-document rows give a row each; a null doc_id is kept; documents of any length are read whole,
-in stretches that overlap by more than the longest item.
+document rows give a row each; a null doc_id is kept; documents and items of any length are read whole.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, slices
 
 RATE, MIN_CHARS, BLOCK = 0.1, 20, 4_000_000
-#: Candidates whose distances are computed together.
-TOGETHER = 4096
+#: Bytes of the tables of candidates whose distances are computed together.
+DISTANCE_BYTES = 32 << 20
 NOISE = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -66,6 +67,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.items = [(i, t, budget(t, rate)) for i, t in items if t]
+        self.letters = [len(set(t)) for _, t, _ in self.items]
         found: dict[str, list[tuple[int, int, str, bool]]] = defaultdict(list)
         for n, (_, text, k) in enumerate(self.items):
             parts = pieces(text, k)
@@ -100,14 +102,26 @@ class Matcher:
             out.append((n, max(0, a - k), min(len(text), b + len(item) + k)))
         return out
 
+    def portions(self, jobs: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+        """Jobs (text, item, from, to) of about one size in lists whose tables fit DISTANCE_BYTES, or single ones."""
+        part, words, letters, width = [], 0, 0, 0
+        for job in sorted(jobs, key=lambda j: (len(self.items[j[1]][1]), j[3] - j[2])):
+            _, n, a, b = job
+            size = ((len(self.items[n][1]) + 63) // 64, self.letters[n], b - a)
+            words, letters, width = max(words, size[0]), max(letters, size[1]), max(width, size[2])
+            if part and (len(part) + 1) * (8 * words * (letters + 4) + 24 * width) > DISTANCE_BYTES:
+                yield part
+                part, (words, letters, width) = [], size
+            part.append(job)
+        if part:
+            yield part
+
     def matches(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item id, distance, start, end) of the best passage of every item found, in normalised characters."""
         texts = [normalised(t) for t in texts]
         jobs = [(d, *c) for d, t in enumerate(texts) if self.ready and t for c in self.candidates(t)]
         best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        by_size = sorted(jobs, key=lambda j: (len(self.items[j[1]][1]) + 63) // 64)
-        for at in range(0, len(by_size), TOGETHER):
-            part = by_size[at : at + TOGETHER]
+        for part in self.portions(jobs):
             dist, end = myers([self.items[n][1] for _, n, _, _ in part], [texts[d][a:b] for d, _, a, b in part])
             for (d, n, a, _), x, e in zip(part, dist.tolist(), end.tolist(), strict=True):
                 item_id, item, k = self.items[n]
@@ -117,6 +131,18 @@ class Matcher:
         return [[(self.items[n][0], *best_n) for n, best_n in sorted(b.items())] for b in best]
 
 
+_MATCHERS: dict[tuple, Matcher] = {}
+
+
+def matcher(block: list[tuple[int, str]], rate: float) -> Matcher:
+    """The machine of a block, kept by the worker for its next task."""
+    key = (rate, len(block), sha256(repr(block).encode("utf-8", "surrogatepass")).digest())
+    if key not in _MATCHERS:
+        _MATCHERS.clear()  # one block's machine at a time
+        _MATCHERS[key] = Matcher(block, rate)
+    return _MATCHERS[key]
+
+
 def myers(patterns: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Least edit distance of each pattern to any passage of its text, and where that passage ends.
 
@@ -197,10 +223,10 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
     for block in blocks(benchmark):
 
         def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            found_by = matcher(block, rate)
             for batch in batches:
                 for part in slices(batch, 256):
-                    ids, found = part.column(0).to_pylist(), matcher.matches(part.column(1).to_pylist())
+                    ids, found = part.column(0).to_pylist(), found_by.matches(part.column(1).to_pylist())
                     flat = [(i, *x) for i, f in zip(ids, found, strict=True) for x in f]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], pa.int64() if c < 2 else pa.int32()) for c in range(5)], names=["doc_id", "item_id", "distance", "start", "end"])
 
@@ -215,10 +241,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     for block in blocks(benchmark):
 
         def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            found_by = matcher(block, rate)
             for batch in batches:
                 for part in slices(batch, 256):
-                    found = matcher.matches([t or "" for t in part.column(at).to_pylist()])
+                    found = found_by.matches([t or "" for t in part.column(at).to_pylist()])
                     yield part.filter(pa.array([not f for f in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
