@@ -16,7 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END = "### ", ": ", "</turn>"
@@ -63,22 +63,20 @@ def parsed(formatted: Column) -> Column:
 
 def format_chats(rows: DataFrame) -> DataFrame:
     """rows: conv_id, turn, role, text. Returns per conversation: conv_id, formatted, loss_spans (array of start, end), turns (parsed back), identical."""
-    clean = rows.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
-    chats = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("sorted")).select("conv_id", F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
-    plain = chats.withColumn("pieces", F.transform("source", lambda t: rendered(t, False)))
+    clean = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # where a turn begins is a running sum over rows, so that spans cost no more than the turns
+    piece = rendered(F.struct("role", "text"), conflicts(F.col("text")))
+    sized = clean.withColumn("head", F.length(piece["head"])).withColumn("body", F.length(piece["body"]))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("start", F.coalesce(F.sum(F.col("head") + F.col("body") + len(END) + 1).over(before), F.lit(0)) + F.col("head"))
+    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "body"))).alias("sorted"))
+    chats = chats.withColumn("source", F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    spans = F.transform(F.filter("sorted", lambda t: t["role"] == ASSISTANT), lambda t: F.struct(t["start"].cast("int").alias("start"), (t["start"] + t["body"]).cast("int").alias("end")))
+    plain = chats.select("conv_id", "source", spans.alias("loss_spans"), F.transform("source", lambda t: rendered(t, False)).alias("pieces"))
     plain = plain.withColumn("same", parsed(joined(F.col("pieces"))).eqNullSafe(F.col("source")))
     pieces = F.when(F.col("same"), F.col("pieces")).otherwise(F.transform("source", lambda t: rendered(t, conflicts(t["text"]))))
-    whole = plain.select("conv_id", "source", pieces.alias("pieces")).withColumn("formatted", joined(F.col("pieces"))).withColumn("turns", parsed(F.col("formatted")))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END) + 1).alias("at"),
-            F.when(p["role"] == ASSISTANT, F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), (acc["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return whole.select("conv_id", "formatted", spans.alias("loss_spans"), "turns", F.col("turns").eqNullSafe(F.col("source")).alias("identical"))
+    whole = plain.select("conv_id", "source", "loss_spans", joined(pieces).alias("formatted")).withColumn("turns", parsed(F.col("formatted")))
+    return whole.select("conv_id", "formatted", "loss_spans", "turns", F.col("turns").eqNullSafe(F.col("source")).alias("identical"))
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
