@@ -45,6 +45,38 @@ TEXTS = [
     ("Zlib", "zlib License", ZLIB_BODY),
 ]
 
+#: Canonical digests of long licences as they are published (without a title of their own in front). Fixed values.
+DIGESTS = {
+    "Apache-2.0": "856f2838f8fd5f76bf8f8e0c18c9af2cb90984a2ccb84b7ed3c9618898bcd184",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "b92c84eeee7742cf7d13250201eb8d5e5f82647fe205cac2862a1cbf7182cb36",
+}
+
+#: Notices of several lines that files carry at their head. The licences' own words.
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+APACHE_AT = " You may obtain a copy of the License at"
+APACHE_ALL = (
+    APACHE + APACHE_AT + "\nhttp://www.apache.org/licenses/LICENSE-2.0\n"
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+MOZILLA = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {}mozilla.org/MPL/2.0/."
+GNU = "This {what} is free software{sign} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version."
+GNU_KINDS = [("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "program", "Lesser ", "3"), ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3")]
+HEADS = [
+    ("Apache-2.0", APACHE), ("Apache-2.0", APACHE + APACHE_AT), ("Apache-2.0", APACHE_ALL), *(("MPL-2.0", MOZILLA.format(x)) for x in ("https://", "http://")),
+    *((licence, GNU.format(what=what, name=name, version=version, sign=sign, mark=mark)) for licence, what, name, version in GNU_KINDS for sign, mark in ((":", ","), (";", ";"))),
+]
+
 #: Names by which notices call a licence.
 NAMES = {
     "MIT": ["MIT License", "MIT"],
@@ -65,7 +97,7 @@ SUBJECTS, VERBS, ARTICLES = ["", "This work is", "This software is", "This file
 
 def known() -> list[tuple[str, str]]:
     """(licence, text) of every known text and notice."""
-    out = [(i, t) for i, title, body in TEXTS for t in (body, f"{title}\n{body}")]
+    out = [(i, t) for i, title, body in TEXTS for t in (body, f"{title}\n{body}")] + HEADS
     for licence, names in NAMES.items():
         for name in names:
             out += [(licence, f"{s} {v} under {a} {name}") for s in SUBJECTS for v in VERBS for a in ARTICLES]

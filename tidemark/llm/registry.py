@@ -60,7 +60,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(4 + length(head) + 2 + length(body) + 8)::BIGINT AS formatted_chars
 FROM bodies GROUP BY conv_id
-""".replace("\\", "\\")
+"""
 
 
 @query
@@ -100,24 +100,29 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_oracle() -> str:
     """The scan in SQL: the same steps, written for DuckDB."""
 
-    def canonical(x: str) -> str:
-        x = f"regexp_replace(lower({x}), '{license_scan.COPYRIGHT}', '', 'g')"
+    def simplified(x: str) -> str:
+        x = f"replace(regexp_replace(lower({x}), '(?m){license_scan.STATEMENT}', '', 'g'), '&', ' and ')"
+        return f"regexp_replace({x}, '[^a-z0-9\\n]+', ' ', 'g')"
+
+    def digest_of(x: str) -> str:
+        x = f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
         for a, b in license_scan.SPELLINGS:
             x = f"replace({x}, '{a}', '{b}')"
-        return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+        return f"sha256({x})"
 
-    quoted = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in license_scan.known())
+    texts = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in license_scan.known())
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in license_scan.DIGESTS.items())
     return f"""
-WITH given(license_id, text) AS (VALUES {quoted}),
-names AS (SELECT sha256({canonical("text")}) AS digest, min(license_id) AS license_id FROM given GROUP BY 1),
-docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-hits AS (
-  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-  FROM (SELECT doc_id, sha256({canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)) JOIN names USING (digest)
-  GROUP BY doc_id
-)
+WITH given(license_id, text) AS (VALUES {texts}), long(license_id, digest) AS (VALUES {digests}),
+names AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, {digest_of(simplified("text"))} AS digest FROM given UNION ALL SELECT license_id, digest FROM long) GROUP BY 1),
+docs AS (SELECT doc_id, {simplified("coalesce(text, '')")} AS simple FROM documents),
+units AS (
+  SELECT doc_id, unnest(string_split(simple, chr(10))) AS unit FROM docs
+  UNION ALL SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(simple, '\\n *(?:\\n *)+')) AS unit FROM docs) WHERE contains(trim(unit, ' ' || chr(10)), chr(10))
+),
+hits AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM (SELECT doc_id, {digest_of("unit")} AS digest FROM units) JOIN names USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, d.digest AS canonical_sha256, n.license_id, coalesce(h.notices, '') AS notices
-FROM (SELECT doc_id, sha256({canonical("text")}) AS digest FROM docs) d
+FROM (SELECT doc_id, {digest_of("simple")} AS digest FROM docs) d
 LEFT JOIN names n USING (digest) LEFT JOIN hits h ON h.doc_id = d.doc_id
 """
 
