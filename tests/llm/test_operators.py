@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -281,7 +282,7 @@ def test_license_scan(spark):
     mit = texts["MIT"]
     rows = ["Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,"), mit + " and more", "prose\nReleased under the MIT Licence.\nmore\nLicensed under CC BY-NC 4.0", "", None, "All rights reserved"]
     got = {r.doc_id: (r.license_id, r.notices) for r in license_scan.scan(frame(spark, rows)).collect()}
-    assert got == {0: ("MIT", []), 1: (None, []), 2: (None, ["CC-BY-NC-4.0", "MIT"]), 3: (None, []), 4: (None, []), 5: (None, [])}
+    assert got == {0: ("MIT", ["MIT"]), 1: (None, []), 2: (None, ["CC-BY-NC-4.0", "MIT"]), 3: (None, []), 4: (None, []), 5: (None, [])}
     own = spark.createDataFrame([("X-1", "My own terms."), ("X-0", "my OWN terms")], "license_id string, text string")
     assert [r.license_id for r in license_scan.scan(frame(spark, ["My own terms!"]), own).collect()] == ["X-0"]
     assert license_scan.scan(empty(spark)).count() == 0
@@ -289,10 +290,11 @@ def test_license_scan(spark):
 
 def test_toxicity():
     draw = random.Random(6)
+    counted = lambda words: dict(Counter(toxicity.fold(w) for w in words))
     word = lambda: "".join(draw.choice("abdefghknoprstuz") for _ in range(6))
     clean = [[word() for _ in range(60)] for _ in range(300)]
     toxic = [[*(word() for _ in range(60)), *draw.sample(["dumbo", "jerkface", "blockhead"], 2), "zwarg" + word()] for _ in range(80)]
-    lex = toxicity.learn([[toxicity.fold(w) for w in d] for d in toxic], [[toxicity.fold(w) for w in d] for d in clean])
+    lex = toxicity.learn([counted(d) for d in toxic], [counted(d) for d in clean])
     scorer = toxicity.Scorer(lex, exceptions=["dumbo ears"])
     assert scorer.score("what a dumbo and jerkface") >= 0.7 and scorer.score("zwargling of a Zwarger") >= 0.7
     assert scorer.score("DUMB0 j3rkface") >= 0.7 and scorer.score("dumbо jеrkfacе") >= 0.7 and scorer.score("ｄｕｍｂｏ d​umbo") >= 0.7

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only a local master may leave it unset; a folder under the warehouse's parent is used then.
+    Only a local master, where driver and executors are one process, may leave it unset: a folder in the session's warehouse is used then.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/tidemark-shared"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidemark-shared"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
