@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Word boundaries on ASCII letters, digits and underscore. Fixed values.
 BEFORE, AFTER = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
@@ -43,6 +44,34 @@ def without_nul(c: str | Column) -> Column:
     return F.replace(col(c), F.lit("\0"), F.lit(""))
 
 
+def without_nul_inside(c: Column, kind: DataType) -> Column:
+    """A value of any type without NUL characters in its strings, in arrays, maps (their values) and structs too."""
+    if isinstance(kind, StringType):
+        return without_nul(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: without_nul_inside(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: without_nul_inside(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[without_nul_inside(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def map_slice(c: Column, keys: list[str]) -> Column:
+    """Only the entries of these keys."""
+    return F.map_filter(c, lambda k, _: k.isin(*keys))
+
+
+def map_compact(c: Column) -> Column:
+    """Without entries whose value is null."""
+    return F.map_filter(c, lambda _, v: v.isNotNull())
+
+
+def map_merge(a: Column, b: Column) -> Column:
+    """Entries of both; where both have a key, a's value unless it is null."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, y))
+
+
 def normal_prompt(c: str | Column) -> Column:
     """Lower case, letters and digits only, single spaces."""
     return F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " "))

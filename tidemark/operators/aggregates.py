@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Names = Sequence[str]
+#: Parts in which the largest groups are looked for.
+PARTS = 64
 
 
 def nearest_rank(df: DataFrame, by: Names, value: str, shares: dict[str, float]) -> DataFrame:
@@ -42,12 +44,17 @@ def day_span(first: Column, last: Column) -> Column:
 
 def top_and_tail(df: DataFrame, key: str, value: str, n: int = 15, tail: str = "(others)") -> DataFrame:
     """The n largest groups, one row for all others and one for the total. df has a row for each group."""
-    w = Window.orderBy(F.desc(value), key)
-    top = df.orderBy(F.desc(value), key).limit(n)
-    rest = df.join(F.broadcast(top.select(key)), key, "left_anti").agg(F.lit(tail).alias(key), F.coalesce(F.sum(value), F.lit(0)).alias(value))  # at most n keys
-    total = df.agg(F.lit("(total)").alias(key), F.coalesce(F.sum(value), F.lit(0)).alias(value))
-    ranked = top.withColumn("rank", F.row_number().over(w))  # over n rows
-    return ranked.unionByName(rest.withColumn("rank", F.lit(n + 1))).unionByName(total.withColumn("rank", F.lit(n + 2)))
+    # the n largest of each of PARTS parts hold the n largest of all: one pass, and n * PARTS groups with a sum a part are what meets in one place
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    w = Window.partitionBy("_p").orderBy(F.desc(value), key)
+    ranked = df.withColumn("_p", part).withColumn("_n", F.row_number().over(w))
+    kept = ranked.groupBy("_p").agg(F.sum(value).alias("_s"), F.collect_list(F.when(F.col("_n") <= n, F.struct((-F.col(value)).alias("_v"), F.col(key).alias("_k")))).alias("_t"))
+    whole = kept.agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("_s"), F.slice(F.array_sort(F.flatten(F.collect_list("_t"))), 1, n).alias("_t"))
+    kind = df.schema[value].dataType.simpleString()
+    item = lambda k, v, r: F.struct(k.alias(key), v.cast(kind).alias(value), r.cast("int").alias("rank"))
+    shown = F.aggregate("_t", F.lit(0).cast(kind), lambda a, x: (a - x["_v"]).cast(kind))
+    rows = F.concat(F.transform("_t", lambda x, i: item(x["_k"], -x["_v"], i + 1)), F.array(item(F.lit(tail), F.col("_s") - shown, F.lit(n + 1)), item(F.lit("(total)"), F.col("_s"), F.lit(n + 2))))
+    return whole.select(F.inline(rows))
 
 
 def mode_or(df: DataFrame, by: Names, value: str, tie: str = "ambiguous") -> DataFrame:
@@ -58,9 +65,10 @@ def mode_or(df: DataFrame, by: Names, value: str, tie: str = "ambiguous") -> Dat
     return winners.select(*by, F.when(F.col("_w") == 1, F.col("_v")).otherwise(F.lit(tie)).alias("winner"), "n")
 
 
-def mode_first_seen(df: DataFrame, by: Names, value: str, order: str, least: int = 3) -> DataFrame:
-    """The most frequent value with at least `least` rows; the one seen first on ties."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("_f")).filter(F.col("n") >= least)
+def mode_first_seen(df: DataFrame, by: Names, value: str, order: str, least: int = 3, without: Sequence = ()) -> DataFrame:
+    """The most frequent value with at least `least` rows; the one seen first on ties. Values in `without` do not count."""
+    usable = F.col(value).isNotNull() & (~F.col(value).isin(*without) if without else F.lit(True))
+    counts = df.filter(usable).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("_f")).filter(F.col("n") >= least)
     return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("n"), F.col("_f"))).alias("winner"), F.max("n").alias("n"))
 
 
@@ -105,6 +113,21 @@ def map_sum(df: DataFrame, by: Names, column: str) -> DataFrame:
     return df.select(*by, F.explode(column).alias("key", "value")).groupBy(*by, "key").agg(F.sum("value").alias("value")).filter("value > 0")
 
 
+def distinct_counts(df: DataFrame, key: Names, item: Names) -> DataFrame:
+    """Rows by key after one row of each item is kept: distinct items are counted, however often they repeat."""
+    return df.select(*key, *item).distinct().groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def rate_of(model: Column, rates: Sequence[tuple[str, float, float]], default: tuple[float, float] = (0.0, 0.0)) -> Column:
+    """struct(input, output): prices of the first entry (pattern, input, output) whose pattern a model's name holds."""
+    pair = lambda a, b: F.struct(F.lit(float(a)).alias("input"), F.lit(float(b)).alias("output"))
+    out = None
+    for name, a, b in rates:
+        hit = F.contains(F.lower(model), F.lit(name))
+        out = F.when(hit, pair(a, b)) if out is None else out.when(hit, pair(a, b))
+    return pair(*default) if out is None else out.otherwise(pair(*default))
+
+
 def cost_cents(tokens: Column, price_per_million: Column) -> Column:
     """Whole cents, rounded up, of thousandths of a cent (sum of tokens times price)."""
     return F.ceil(tokens * price_per_million / 10_000)

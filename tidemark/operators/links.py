@@ -17,9 +17,10 @@ from .windows import micros
 Names = Sequence[str]
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 100_000, size: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows and bytes (as JSON text); else as it is."""
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, on: Names, tolerance: int = 0, bucket: int = 7200) -> DataFrame:
@@ -66,13 +67,16 @@ def orphans(items: DataFrame, links: DataFrame, item: Names) -> DataFrame:
 def launches(children: DataFrame, parents: DataFrame, on: Names, before: int = 300, after: int = 5, bucket: int = 600) -> DataFrame:
     """As-of join: a child's launch is a parent event from `before` seconds before it to `after` seconds after, bounds included.
 
-    children: child_id, child_ts; parents: parent_id, parent_ts. One candidate is high, more are medium (the latest wins), none is low.
+    children: child_id, child_ts; parents: parent_id, parent_ts. One candidate is high, more are medium, none is low. Of several
+    the latest wins; where both sides have a cwd, one with the child's own cwd comes first.
     """
     a = children.withColumn("a_start", micros("child_ts") - before * 1_000_000).withColumn("a_end", micros("child_ts") + after * 1_000_000)
     a = a.withColumn("a_start", F.timestamp_micros("a_start")).withColumn("a_end", F.timestamp_micros("a_end"))
     b = parents.withColumn("b_start", F.col("parent_ts")).withColumn("b_end", F.col("parent_ts"))
     met = overlap_pairs(a, b, on, 0, bucket)
-    best = met.groupBy("child_id").agg(F.count_distinct("parent_id").alias("candidates"), F.max_by("parent_id", F.struct("parent_ts", "parent_id")).alias("parent_id"))
+    same = F.coalesce(F.col("child_cwd") == F.col("parent_cwd"), F.lit(False)) if {"child_cwd", "parent_cwd"} <= set(met.columns) else F.lit(False)
+    rank = F.struct(same.alias("same"), "parent_ts", "parent_id")
+    best = met.groupBy("child_id").agg(F.count_distinct("parent_id").alias("candidates"), F.max_by("parent_id", rank).alias("parent_id"))
     all_rows = children.select("child_id").join(best, "child_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     return all_rows.withColumn("confidence", F.when(F.col("candidates") == 0, "low").when(F.col("candidates") == 1, "high").otherwise("medium"))
 
@@ -125,8 +129,30 @@ def nearest_ancestor(df: DataFrame, known: DataFrame, path: str, key: str, value
     return rows.join(known.select("path", value), "path").groupBy(key).agg(F.min_by(value, "distance").alias(value), F.min("distance").alias("distance"))
 
 
-def all_or_nothing(groups: DataFrame, members: DataFrame, group: Names, member: str, facts: DataFrame, amount: str) -> DataFrame:
-    """Sums facts of a group's members: 'full' only if every member is known, else 'partial' or 'none' without a sum."""
+def nearest_sibling(df: DataFrame, known: DataFrame, path: str, key: str, value: str) -> DataFrame:
+    """Each row with the value of a known sibling whose name begins its own up to a dash, a dot or an underscore; the longest such name wins.
+
+    A name is listed under its beginnings at those marks, which makes the prefix test an equi join. known: path, and the value.
+    """
+    parts = F.split(F.col(path), "/")
+    folder, name = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"), F.element_at(parts, -1)
+    marks = F.filter(F.sequence(F.lit(2), F.length(name)), lambda i: F.substring(name, i, F.lit(1)).isin("-", ".", "_"))
+    stems = F.transform(marks, lambda i: F.struct(i.alias("length"), F.concat_ws("/", F.nullif(folder, F.lit("")), F.substring(name, F.lit(1), i - 1)).alias("path")))
+    rows = df.filter(F.length(name) > 1).select(key, F.explode(stems).alias("s")).select(key, "s.length", F.col("s.path").alias("path"))
+    return rows.join(known.select("path", value), "path").groupBy(key).agg(F.max_by(value, "length").alias(value))
+
+
+def all_or_nothing(groups: DataFrame, members: DataFrame, group: Names, member: str, facts: DataFrame, amount: str, fallback: DataFrame | None = None) -> DataFrame:
+    """Sums facts of a group's members: 'full' only if every member is known, else 'partial' or 'none' without a sum.
+
+    fallback (the group, and the amount) is another source for groups that are not full: 'diff' takes its amount, and where it has
+    none the sum of the known members stands ('partial').
+    """
     met = groups.join(members, list(group), "left").join(facts.select(member, amount, F.lit(1).alias("_hit")), member, "left")
     sums = met.groupBy(*group).agg(F.count(member).alias("n"), F.count("_hit").alias("hits"), F.sum(amount).alias("total"))
+    if fallback is not None:
+        full = (F.col("n") > 0) & (F.col("n") == F.col("hits"))
+        both = sums.join(fallback.select(*group, F.col(amount).alias("_diff")), list(group), "left")
+        source = F.when(full, "full").when(F.col("_diff").isNotNull(), "diff").when(F.col("hits") > 0, "partial").otherwise("none")
+        return both.select(*group, "n", "hits", F.when(full, F.col("total")).otherwise(F.coalesce("_diff", "total")).alias("total"), source.alias("source"))
     return sums.select(*group, "n", "hits", F.when((F.col("n") > 0) & (F.col("n") == F.col("hits")), F.col("total")).alias("total"), F.when(F.col("hits") == 0, "none").when(F.col("n") == F.col("hits"), "full").otherwise("partial").alias("source"))

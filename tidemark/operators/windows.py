@@ -183,23 +183,21 @@ def first_last(df: DataFrame, by: Names, order: Names, value: str) -> DataFrame:
 def greedy_chunks(df: DataFrame, by: Names, order: Names, tokens: str, opens: str, budget: int) -> DataFrame:
     """Cuts a stream where the tokens since the last cut would pass the budget, but only at rows that may open a chunk.
 
-    The reset depends on the data, so each stream is folded as one array of (order, tokens, opens).
+    The reset depends on the data, so each stream is folded as one array of (order, tokens, opens); the fold keeps what is open and
+    adds a chunk to its list only where it cuts. Returns a row a chunk: chunk (from 0), n_rows, n_tokens.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).alias("_t"), F.col(opens).alias("_o"))))
-    start = F.expr("struct(0 AS used, 0 AS chunk, cast(array() AS array<int>) AS ids)")
-    fold = F.aggregate(
-        "_items",
-        start,
-        lambda a, x: F.struct(
-            F.when(x["_o"] & (a["used"] > 0) & (a["used"] + x["_t"] > budget), x["_t"]).otherwise(a["used"] + x["_t"]).cast("int").alias("used"),
-            F.when(x["_o"] & (a["used"] > 0) & (a["used"] + x["_t"] > budget), a["chunk"] + 1).otherwise(a["chunk"]).alias("chunk"),
-            F.concat(a["ids"], F.array(F.when(x["_o"] & (a["used"] > 0) & (a["used"] + x["_t"] > budget), a["chunk"] + 1).otherwise(a["chunk"]))).alias("ids"),
-        ),
-        lambda a: a["ids"],
-    )
-    rows = df.groupBy(*by).agg(items.alias("_items")).withColumn("_ids", fold)
-    flat = rows.select(*by, F.explode(F.arrays_zip("_items", "_ids")).alias("x"))
-    return flat.groupBy(*by, F.col("x._ids").alias("chunk")).agg(F.count("*").alias("n_rows"), F.sum("x._items._t").cast("long").alias("n_tokens"))
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).cast("long").alias("_t"), F.col(opens).alias("_o"))))
+    done = "array<struct<n_rows:bigint,n_tokens:bigint>>"
+    start = F.expr(f"struct(0L AS n_rows, 0L AS n_tokens, cast(array() AS {done}) AS done)")
+    closed = lambda a: F.concat(a["done"], F.array(F.struct(a["n_rows"].alias("n_rows"), a["n_tokens"].alias("n_tokens"))))
+
+    def step(a: Column, x: Column) -> Column:
+        cut = x["_o"] & (a["n_tokens"] > 0) & (a["n_tokens"] + x["_t"] > budget)
+        begun = F.struct(F.lit(1).cast("long").alias("n_rows"), x["_t"].alias("n_tokens"), closed(a).alias("done"))
+        return F.when(cut, begun).otherwise(F.struct((a["n_rows"] + 1).alias("n_rows"), (a["n_tokens"] + x["_t"]).alias("n_tokens"), a["done"].alias("done")))
+
+    rows = df.groupBy(*by).agg(items.alias("_items")).select(*by, F.posexplode(F.aggregate("_items", start, step, closed)).alias("chunk", "_x"))
+    return rows.select(*by, "chunk", "_x.n_rows", "_x.n_tokens")
 
 
 def capped(df: DataFrame, by: Names, order: Names, cap: int, exempt: Column) -> DataFrame:

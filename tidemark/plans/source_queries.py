@@ -20,9 +20,9 @@ def numstat_fold(spark: SparkSession, d: str) -> DataFrame:
     """A numstat log written from orders and their lines (one file for each customer), folded back; lines not returned are binary files."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     path = F.concat(F.lit("log"), F.col("o_custkey").cast("string"))
-    heads = o.select(path.alias("path"), F.struct("o_orderkey", F.lit(-1).alias("n"), F.lit(0).cast("long").alias("p")).alias("line_no"), F.format_string("COMMIT_BOUNDARY c%d %s A B <a%d@x>", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_custkey").alias("line"))
+    heads = o.select(path.alias("path"), (F.col("o_orderkey") * 100).cast("long").alias("line_no"), F.format_string("COMMIT_BOUNDARY c%d %s A B <a%d@x>", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_custkey").alias("line"))
     text = F.concat_ws("\t", F.when(F.col("l_returnflag") == "N", "-").otherwise(F.col("l_quantity").cast("long").cast("string")), F.when(F.col("l_returnflag") == "N", "-").otherwise(F.col("l_linenumber").cast("string")), F.concat(F.lit("src/f"), F.col("l_partkey").cast("string")))
-    files = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(path.alias("path"), F.struct(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")).alias("line_no"), text.alias("line"))
+    files = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(path.alias("path"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("long").alias("line_no"), text.alias("line"))
     return L.numstat(heads.unionByName(files)).groupBy("sha").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.count("*").alias("n_files"))
 
 

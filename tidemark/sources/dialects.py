@@ -7,8 +7,9 @@ input as JSON text. `NORMALIZERS` is the registry; a dialect is told by the firs
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +125,8 @@ def replayed(entries: DataFrame) -> DataFrame:
     """Mutation log to messages: path, place (from 1), rec (JSON text).
 
     An upsert by id keeps its first place; $set.messages clears and reloads; $rewindTo drops the id and all after it, or
-    everything if the id is unknown. Only operations after a file's last reset count, so the fold is as long as a conversation.
+    everything if the id is unknown. Only operations after a file's last reset count. What an operation does depends on all before it, so a file
+    is replayed by one task, in time that is linear in its operations.
     """
     v = F.col("v")
     keep = F.to_json(F.try_variant_get(v, "$.$set.messages", "variant"))
@@ -135,19 +137,37 @@ def replayed(entries: DataFrame) -> DataFrame:
     rows = rows.withColumn("_last", last).filter("_last IS NULL OR line_no >= _last")
     loaded = F.transform(F.filter(F.col("reload"), lambda m: F.coalesce(F.get_json_object(m, "$.id"), F.lit("")) != ""), lambda m: F.struct(F.lit("upsert").alias("op"), F.get_json_object(m, "$.id").alias("id"), m.alias("rec")))
     ops = F.when(F.col("op") == "set", loaded).otherwise(F.array(F.struct("op", "id", F.col("body").alias("rec"))))
-    folded = rows.groupBy("path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", ops.alias("ops")))), lambda x: x["ops"])).alias("ops"))
-    empty = F.expr("cast(array() as array<struct<id:string,rec:string>>)")
-    at = lambda list_, id_: F.array_position(F.transform(list_, lambda x: x["id"]), id_)
-    item = lambda o: F.struct(o["id"].alias("id"), o["rec"].alias("rec"))
-
-    def step(list_: Column, o: Column) -> Column:
-        place = at(list_, o["id"])
-        put = F.when(place > 0, F.transform(list_, lambda x: F.when(x["id"] == o["id"], item(o)).otherwise(x))).otherwise(F.concat(list_, F.array(item(o))))
-        cut = F.when(place > 0, F.slice(list_, F.lit(1), (place - 1).cast("int"))).otherwise(empty)
-        return F.when(o["op"] == "rewind", cut).otherwise(put)
-
-    done = folded.select("path", F.posexplode(F.aggregate("ops", empty, step)).alias("place", "x"))
-    return done.select("path", (F.col("place") + 1).alias("place"), F.col("x.id").alias("id"), F.col("x.rec").alias("rec"))
+    flat = rows.select("path", "line_no", F.posexplode(ops).alias("pos", "o")).select("path", "line_no", "pos", "o.op", "o.id", "o.rec")
+    return flat.groupBy("path").applyInArrow(replayed_file, "path string, place int, id string, rec string")
+
+
+def replay(kept: dict[str, int], order: list[str], ops: Iterable[tuple[str, str, int]]) -> None:
+    """Carries operations (op, id, row) out on what is kept: the row of each id, and ids in the order of their places.
+
+    An upsert keeps the first place; a rewind drops the id and all after it, or everything if the id is unknown; clear drops everything. Each
+    id is dropped once for each time it came, so the whole is linear.
+    """
+    for op, i, row in ops:
+        if op == "upsert":
+            if i not in kept:
+                order.append(i)
+            kept[i] = row
+        else:
+            known = op == "rewind" and i in kept
+            while order:
+                last = order.pop()
+                del kept[last]
+                if known and last == i:
+                    break
+
+
+def replayed_file(table: pa.Table) -> pa.Table:
+    """The records of one file that its operations leave, in place."""
+    table = table.sort_by([("line_no", "ascending"), ("pos", "ascending")])
+    kept, order = {}, []
+    replay(kept, order, zip(table["op"].to_pylist(), table["id"].to_pylist(), range(len(table)), strict=True))
+    found = table.take(pa.array([kept[i] for i in order], pa.int64()))
+    return pa.table({"path": found["path"], "place": pa.array(range(1, len(order) + 1), pa.int32()), "id": found["id"], "rec": found["rec"]})
 
 
 def gemini_records(records: DataFrame) -> DataFrame:

@@ -92,9 +92,34 @@ def dispatch_metadata(events: DataFrame) -> DataFrame:
     return events.groupBy("session").agg(F.count_if(d).alias("dispatches"), F.count_if(r).alias("returns"), F.count_if(r & F.col("indicates_error")).alias("errors"), F.sort_array(F.collect_set(F.when(d, F.col("description")))).alias("descriptions"))
 
 
+#: Beginnings of texts that a tool or a skill puts in a user's name. Fixed values of the log format.
+SYSTEM_TEXT = ("<system_instruction", "<system-reminder", "<local-command", "<command-", "[system]", "Caveat:")
+SKILL_TEXT = ("Base directory for this skill:", "<!-- AUTO-GENERATED from SKILL.md")
+
+
+def main_thread(entries: DataFrame, is_subagent: Column | bool = False) -> DataFrame:
+    """Entries without the echoes of side threads, which a sub-session's own file consists of and keeps. entries: with v."""
+    own = F.lit(is_subagent) if isinstance(is_subagent, bool) else is_subagent
+    side = F.coalesce(F.try_variant_get("v", "$.isSidechain", "boolean"), F.lit(False))
+    return entries.filter(~side | own)
+
+
+def skill_template(text: Column) -> Column:
+    """Whether a text is the expansion of a skill: it begins as one, says that it is generated, or is a page about a slash command that speaks of a skill."""
+    heading = F.rlike(F.substring_index(text, "\n", 1), F.lit("^# /[A-Za-z0-9_]+:")) & F.contains(text, F.lit("\n\n"))
+    return F.startswith(text, F.lit(SKILL_TEXT[0])) | F.contains(text, F.lit(SKILL_TEXT[1])) | (heading & F.contains(F.lower(text), F.lit("skill")))
+
+
+def raw_user_text(entries: DataFrame) -> DataFrame:
+    """Texts that people typed: cleaned, and without expanded skills."""
+    return cleaned_user_text(entries).filter(~skill_template(F.col("text")))
+
+
 def cleaned_user_text(entries: DataFrame) -> DataFrame:
     """User texts without system, reminder and local-command messages; notification spans are cut out. Tool-only turns drop out."""
     rows = entries.filter("role = 'user'").select("path", "line_no", "ts", F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n").alias("text"))
     text = F.trim(F.regexp_replace("text", r"(?s)<(system-reminder|task-notification)>.*?</\1>", ""))
-    noise = F.rlike(text, F.lit(r"^(<local-command|<command-|\[system\]|Caveat:)"))
+    noise = F.lit(False)
+    for mark in SYSTEM_TEXT:
+        noise = noise | F.startswith(F.col("text"), F.lit(mark))
     return rows.withColumn("text", text).filter((F.col("text") != "") & ~noise)

@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.windows import running_groups
+
+#: Line numbers of one block of a file.
+BLOCK = 100_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """path, line_no, line, mtime of text files: one row a line, numbered inside its file from 1.
 
-    Whole files are read so that line numbers are exact; a file is one row until its lines are unfolded.
+    Files are read line by line and a large file in several tasks: lines are numbered inside the block of the file that a task reads,
+    and the lines of the blocks before are added. Only a row a block is ordered by file.
     """
-    whole = spark.read.options(wholetext=True, **options).text(path)
-    rows = whole.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return rows.select("path", "mtime", (F.col("line_no") + 1).alias("line_no"), "line")
+    meta = F.col("_metadata")
+    rows = spark.read.options(lineSep="\n", **options).text(path).select(
+        meta["file_path"].alias("path"), meta["file_modification_time"].alias("mtime"), meta["file_block_start"].alias("_b"), F.monotonically_increasing_id().alias("_i"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    blocks = rows.groupBy("path", "_b").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(blocks, ["path", "_b"]).select("path", "mtime", (F.col("_i") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line")
 
 
 def json_entries(lines: DataFrame) -> DataFrame:
@@ -48,13 +56,28 @@ def commits_tsv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def numstat(lines: DataFrame, boundary: str = r"^COMMIT_BOUNDARY (\S+) (\S+) (.*) <([^>]*)>$", fields: tuple[str, ...] = ("sha", "date", "author", "email")) -> DataFrame:
     """A row for each file of each commit: the boundary's fields, added, deleted, file. Binary files count 0; lines before the first boundary are dropped."""
     is_boundary = F.rlike("line", F.lit(boundary))
-    rows = running_groups(lines.withColumn("_b", is_boundary), ["path"], ["line_no"], F.col("_b")).filter("group_id > 0")
-    w = Window.partitionBy("path", "group_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    for i, name in enumerate(fields):
-        rows = rows.withColumn(name, F.first(F.when(F.col("_b"), F.regexp_extract("line", boundary, i + 1)), ignorenulls=True).over(w))
+    head = F.struct("line_no", *[F.regexp_extract("line", boundary, i + 1).alias(n) for i, n in enumerate(fields)])
+    rows = carried(lines.withColumn("_b", is_boundary), F.when(F.col("_b"), head), "_head")
     p = F.split("line", "\t", 3)
     count = lambda i: F.coalesce(p[i].try_cast("long"), F.lit(0))
-    return rows.filter(~F.col("_b") & (F.size(p) == 3)).select("path", "group_id", *fields, count(0).alias("added"), count(1).alias("deleted"), p[2].alias("file"))
+    found = rows.filter(~F.col("_b") & F.col("_head").isNotNull() & (F.size(p) == 3))
+    return found.select("path", F.col("_head.line_no").alias("group_id"), *[f"_head.{n}" for n in fields], count(0).alias("added"), count(1).alias("deleted"), p[2].alias("file"))
+
+
+def carried(lines: DataFrame, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """lines (path, line_no from 0 or 1) with the last value that is not null at or before each line of its file.
+
+    Lines are dealt in blocks of so many numbers; only the last value of each block is ordered by file, so that a large file is as many
+    tasks as it has blocks.
+    """
+    rows = lines.withColumn("_v", value).withColumn("_k", F.floor(F.col("line_no") / block))
+    last = rows.filter("_v IS NOT NULL").groupBy("path", "_k").agg(F.max_by("_v", "line_no").alias("_e"))
+    every = rows.select("path", "_k").distinct().join(last, ["path", "_k"], "left")
+    before = Window.partitionBy("path").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ends = every.select("path", "_k", F.last("_e", ignorenulls=True).over(before).alias("_before"))
+    inside = Window.partitionBy("path", "_k").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(ends, ["path", "_k"]).withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_before")))
+    return joined.drop("_v", "_k", "_before")
 
 
 def git_log_piped(lines: DataFrame) -> DataFrame:
@@ -77,18 +100,27 @@ def across_repos(parts: dict[str, DataFrame], newest: int = 2000) -> DataFrame:
 
 def diff_stats(lines: DataFrame, tests: str = r"(^|/)(tests?|spec)/|_test\.|\.test\.|_spec\.") -> DataFrame:
     """Added, removed and added test lines of each file of a unified diff; the current file carries forward."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1)
-    rows = lines.withColumn("file", F.last(F.when(head != "", head), ignorenulls=True).over(w)).filter("file IS NOT NULL")
+    rows = carried(lines, F.when(head != "", head), "file").filter("file IS NOT NULL")
     plus = F.rlike("line", F.lit(r"^\+(?!\+\+)"))
     minus = F.rlike("line", F.lit(r"^-(?!--)"))
     return rows.groupBy("path", "file").agg(F.count_if(plus).alias("added"), F.count_if(minus).alias("deleted"), F.count_if(plus & F.rlike("file", F.lit(tests))).alias("test_added"))
 
 
-def repo_files(spark: SparkSession, path: str, pattern: str = "*", largest: int = 100_000, skip: str = r"/(node_modules|vendor|dist|build|\.git)/") -> DataFrame:
-    """path, length, content of a tree's files up to a size, without vendored folders."""
+#: Folders whose files are not a repository's own.
+VENDORED = ("node_modules", "vendor", "dist", "build", ".git")
+
+
+def repo_files(spark: SparkSession, path: str, pattern: str = "*", largest: int = 100_000, most: int = 10_000) -> DataFrame:
+    """path, length, content of a tree's files up to a size, without vendored folders: the first `most` by path, which is the reader's cap.
+
+    A file counts only if its path lies below the folder that was asked for, so that links out of the tree give nothing.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return rows.filter((F.col("length") <= largest) & ~F.rlike("path", F.lit(skip))).select("path", "length", "content")
+    parts = F.split("path", "/")
+    inside = F.contains("path", F.lit("/" + path.split(":")[-1].strip("/") + "/"))
+    own = rows.filter((F.col("length") <= largest) & inside & ~F.arrays_overlap(parts, F.array(*map(F.lit, VENDORED))))
+    return own.orderBy("path").limit(most).select("path", "length", "content")
 
 
 def with_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -114,6 +146,22 @@ def first_by_priority(parts: list[DataFrame], key: list[str]) -> DataFrame:
     return out.join(keep, [*key, "_p"], "left_semi").drop("_p")
 
 
+def law_pages(pages: DataFrame, categories: dict[str, str]) -> DataFrame:
+    """Markdown pages (path, value: the whole text) to key (the file's name), title (first heading), category, pattern (the section of that name).
+
+    Pages without a heading or without the section drop out; keys that categories does not name are Uncategorized.
+    """
+    lines = F.split("value", "\r?\n")
+    title = F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit("# "))), F.lit(1))
+    sections = F.split(F.concat(F.lit("\n"), "value"), "\n## +")
+    section = F.try_element_at(F.filter(sections, lambda x: F.rlike(x, F.lit("^Pattern[ \t]*\r?\n"))), F.lit(1))
+    names = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv]) if categories else F.expr("cast(map() AS map<string,string>)")
+    key = F.regexp_replace(T.basename("path"), r"\.md$", "")
+    found = pages.select(key.alias("key"), F.trim(F.substring(title, 3, 1 << 20)).alias("title"), F.trim(F.regexp_replace(section, "^Pattern[ \t]*\r?\n", ""), F.lit(" \r\n\t")).alias("pattern"))
+    rows = found.filter("title <> '' AND pattern <> ''")
+    return rows.select("key", "title", F.coalesce(F.try_element_at(names, "key"), F.lit("Uncategorized")).alias("category"), "pattern")
+
+
 def law_catalog(spark: SparkSession, path: str) -> DataFrame:
     """key, title, category, pattern of a catalogue kept as one JSON array."""
     whole = spark.read.option("wholetext", True).text(path)

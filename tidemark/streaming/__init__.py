@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.dialects import replay
+
 
 def read_events(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
     """New Parquet files of a folder, each once."""
@@ -29,25 +31,35 @@ def first_seen(rows: DataFrame, key: list[str], ts: str, late: str = "1 hour") -
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
+def mutation_ops(lines: DataFrame) -> DataFrame:
+    """Lines of mutation logs (path, line_no, line) to operations: path, line_no, pos, op (upsert, rewind or clear), id. A reload is a clear and its messages."""
+    v = F.try_parse_json("line")
+    name = lambda m: F.coalesce(F.get_json_object(m, "$.id"), F.lit(""))
+    messages = F.from_json(F.to_json(F.try_variant_get(v, "$.$set.messages", "variant")), "array<string>")
+    op = lambda kind, i: F.struct(F.lit(kind).alias("op"), i.alias("id"))
+    loaded = F.concat(F.array(op("clear", F.lit(""))), F.transform(F.filter(messages, lambda m: name(m) != ""), lambda m: op("upsert", name(m))))
+    back, own = F.try_variant_get(v, "$.$rewindTo", "string"), F.try_variant_get(v, "$.id", "string")
+    said = F.try_variant_get(v, "$.type", "string").isin("user", "gemini") & (own != "")
+    ops = F.when(messages.isNotNull(), loaded).when(back.isNotNull(), F.array(op("rewind", back))).when(said, F.array(op("upsert", own)))
+    return lines.select("path", "line_no", F.posexplode(ops).alias("pos", "o")).select("path", "line_no", "pos", "o.op", "o.id")
+
+
 def mutation_log(ops: DataFrame) -> DataFrame:
-    """Replays a log per path as operations come: ops has path, line_no, op (upsert, rewind or clear), id.
+    """Replays logs per path as operations come, by the same steps as the batch: ops as mutation_ops gives them.
 
-    Emits the number of messages and the ids after each batch; the state of a path is its list of ids.
+    Emits the number of messages and the ids after each batch; the state of a path is its ids in place.
     """
     import pandas as pd
 
+    has_pos = "pos" in ops.columns
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ids = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("line_no")
-        for op, i in zip(rows["op"], rows["id"], strict=True):
-            if op == "clear":
-                ids = []
-            elif op == "rewind":
-                ids = ids[: ids.index(i)] if i in ids else []
-            elif i not in ids:
-                ids.append(i)
-        state.update((ids,))
-        yield pd.DataFrame({"path": [key[0]], "n": [len(ids)], "ids": [ids]})
+        order = list(state.get[0]) if state.exists else []
+        kept = dict.fromkeys(order, 0)
+        rows = pd.concat(list(batches)).sort_values(["line_no", "pos"] if has_pos else ["line_no"])
+        replay(kept, order, zip(rows["op"], rows["id"], range(len(rows)), strict=True))
+        state.update((order,))
+        yield pd.DataFrame({"path": [key[0]], "n": [len(order)], "ids": [order]})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
