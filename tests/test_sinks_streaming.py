@@ -19,12 +19,16 @@ def test_nested_documents(spark, tmp_path):
 
 
 def test_idempotent_upsert_and_append(spark, tmp_path):
-    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    table = str(tmp_path / "t")
     new = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
-    sinks.merged(old, new, ["k"], str(tmp_path / "t1"))
-    once = spark.read.parquet(str(tmp_path / "t1"))
-    sinks.merged(once, new, ["k"], str(tmp_path / "t2"))
-    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "t2")).collect())) == [(1, "b"), (2, "c")]
+    assert sinks.read_table(spark, table) is None
+    sinks.merged(spark, table, spark.createDataFrame([(1, "a")], "k int, v string"), ["k"])
+    once = sinks.merged(spark, table, new, ["k"])
+    assert sorted(map(tuple, once.collect())) == [(1, "b"), (2, "c")]
+    (tmp_path / "t" / "v000000009").mkdir()  # a version that never became complete
+    for _ in range(2):
+        sinks.merged(spark, table, new, ["k"])
+    assert sorted(map(tuple, sinks.read_table(spark, table).collect())) == [(1, "b"), (2, "c")] and sinks.versions_of(spark, table) == [3, 4]
     sinks.append(new, str(tmp_path / "log"))
     sinks.append(new, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
@@ -66,3 +70,24 @@ def test_streaming_mutation_log(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     run(streaming.mutation_log(streaming.read_events(spark, str(tmp_path / "in"), df.schema)), "logs", "update")
     assert {r.path: r.ids for r in spark.table("logs").collect()} == {"p": ["a", "c"], "q": []}
+
+
+def test_streamed_lines_equal_the_batch(spark, tmp_path):
+    from tidemark.sources import dialects, lines
+
+    def log(*rows):
+        return [json.dumps(r) for r in rows]
+
+    up, back, reload = (lambda i: {"id": i, "type": "user"}), (lambda i: {"$rewindTo": i}), (lambda *x: {"$set": {"messages": [up(i) for i in x]}})
+    files = {"a": log(up("x"), up("y"), reload("p", "q"), up("x"), back("q"), up("z")), "b": log(up("x"), back("?")), "c": log(reload("x"), reload("y", "x"), up("y"))}
+    df = spark.createDataFrame([(p, i + 1, t) for p, x in files.items() for i, t in enumerate(x)], "path string, line_no int, line string")
+    want = {}
+    for r in dialects.replayed(lines.json_entries(df)).orderBy("path", "place").collect():
+        want.setdefault(r.path, []).append(r.id)
+    for i in (1, 2):  # two files, one after the other
+        df.filter(f"(line_no <= 3) = ({i} = 1)").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = {}
+    q = streaming.mutation_log(streaming.mutation_ops(stream)).writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(lambda x, _: got.update({r.path: r.ids for r in x.collect()})).start()
+    q.awaitTermination(120)
+    assert got == {**want, "b": []} == {"a": ["p", "z"], "b": [], "c": ["y", "x"]}
