@@ -107,7 +107,7 @@ def test_launch_window(spark):
 
 def test_links(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 2)], "a int, b int")
-    got = L.ranked_links([("first", 1.0, pairs.filter("b = 1")), ("second", 0.5, pairs)], ["a", "b"]).orderBy("b").collect()
+    got = L.ranked_links([("first", 1.0), ("second", 0.5)], [(pairs.filter("b = 1"), F.lit(0)), (pairs, F.lit(1))], ["a", "b"]).orderBy("b").collect()
     assert [(r.link_type, r.confidence) for r in got] == [("first", 1.0), ("second", 0.5)]
     texts = spark.createDataFrame([("fix #12",), ("see #2 and #21",)], "t string")
     numbers = spark.createDataFrame([(1,), (2,)], "n int")

@@ -137,6 +137,27 @@ def option_count(c: str | Column) -> Column:
     return F.when(n >= 2, n)
 
 
+#: Beginnings of messages that carry on or hand over a plan, and are no directive of their own.
+CARRIED_ON = ("this session is being continued", "implement the following plan", "continue from where", "resume the plan")
+
+
+def candidate_directive(c: str | Column, least: int = 20) -> Column:
+    """A message of at least so many words that does not merely carry on."""
+    text = F.lower(F.trim(col(c)))
+    on = F.lit(False)
+    for mark in CARRIED_ON:
+        on = on | F.startswith(text, F.lit(mark))
+    return (F.size(F.split(col(c), " ")) >= least) & ~on
+
+
+def fallback_decision(proposal: str | Column, response: str | Column) -> Column:
+    """What rules alone tell about an exchange when no model answers: struct(kind, domain, significance, reversibility)."""
+    both_texts = F.concat_ws(" ", col(proposal), col(response))
+    kind = F.when(counter_proposal(response, proposal), "counter_proposal").when(F.rlike(col(response), F.lit(CORRECTIONS)), "redirect").when(proposal_type(proposal) == "options", "option_selection").otherwise("approval")
+    named = domain(both_texts)
+    return F.struct(kind.alias("kind"), named.alias("domain"), significance(proposal, response, named).alias("significance"), reversibility(both_texts).alias("reversibility"))
+
+
 def novel_words(response: str | Column, proposal: str | Column, least: int = 4) -> Column:
     """Words of at least so many letters in the response that the proposal lacks, each occurrence."""
     find = lambda c: F.regexp_extract_all(F.lower(col(c)), F.lit(f"([a-z]{{{least},}})"), 1)

@@ -70,7 +70,7 @@ def error_handling(files: DataFrame) -> DataFrame:
 
     Ruby and Python handlers are lines that begin with their word. Braced languages catch what was thrown by name: all theirs are specific.
     """
-    lines = F.transform(F.split("content", "\n"), F.ltrim)
+    lines = F.transform(F.split("content", "\n"), lambda x: F.ltrim(x))
 
     def of(word: str) -> Column:
         """The class that each handler line names, empty without one."""

@@ -43,13 +43,18 @@ def time_range(df: DataFrame, choices: Sequence[tuple[str, str]]) -> DataFrame:
     return df.withColumn("_r", F.coalesce(*pair)).select("*", F.col("_r.s").alias("range_start"), F.col("_r.e").alias("range_end")).drop("_r")
 
 
-def ranked_links(rules: Sequence[tuple[str, float, DataFrame]], pair: Names) -> DataFrame:
-    """One link for each pair: the first rule that gives it wins, with the rule's confidence."""
+def ranked_links(rules: Sequence[tuple[str, float]], found: Sequence[tuple[DataFrame, Column]], pair: Names) -> DataFrame:
+    """One link for each pair: the first rule that gives it wins, with the rule's confidence.
+
+    rules: (name, confidence) in order; found: rows of pairs, each with the place of its rule, so that rules that look at the same
+    pairs share one pass over them.
+    """
+    table = F.array(*[F.struct(F.lit(n).alias("link_type"), F.lit(float(c)).alias("confidence")) for n, c in rules])
     out = None
-    for rank, (name, confidence, found) in enumerate(rules):
-        part = found.select(*pair, F.lit(rank).alias("_rank"), F.lit(name).alias("link_type"), F.lit(confidence).alias("confidence"))
+    for rows, place in found:
+        part = rows.select(*pair, place.cast("int").alias("_rank"))
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy(*pair).agg(F.min(F.struct("_rank", "link_type", "confidence")).alias("_b"))
+    best = out.groupBy(*pair).agg(F.min("_rank").alias("_rank")).select(*pair, F.get(table, F.col("_rank")).alias("_b"))
     return best.select(*pair, "_b.link_type", "_b.confidence")
 
 

@@ -271,3 +271,15 @@ def model_cost(spark: SparkSession, d: str) -> DataFrame:
     rate = A.rate_of(pick(["x-Large-m", "a-mid-1", "some-m", "zzz"], key), RATES)
     rows = table(spark, d, "orders").select("o_custkey", (key % 1000 * rate["input"] + 2 * (key % 1000) * rate["output"]).alias("product"))
     return rows.groupBy("o_custkey").agg(A.cost_cents(F.sum("product"), F.lit(1)).alias("cents"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'counter_proposal' WHEN 1 THEN 'redirect' WHEN 2 THEN 'option_selection' ELSE 'approval' END AS kind, CASE p_partkey % 4 WHEN 1 THEN 'data' ELSE 'general' END AS domain,
+  CASE p_partkey % 4 WHEN 1 THEN 'medium' ELSE 'low' END AS significance, CASE p_partkey % 4 WHEN 1 THEN 'irreversible' ELSE 'reversible' END AS reversibility FROM part"""
+)
+def fallback_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Exchanges classified by rules alone, as when no model answers."""
+    key = F.col("p_partkey")
+    proposal = pick(["Option 1 or option 2", "Shall I go on", "Option A or option B", "Done"], key)
+    response = pick(["write something other entirely fresh", "no, drop the table", "option B", "fine"], key)
+    return table(spark, d, "part").select("p_partkey", C.fallback_decision(proposal, response).alias("x")).select("p_partkey", "x.*")

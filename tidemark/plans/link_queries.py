@@ -42,10 +42,11 @@ b AS (SELECT event_id, i_user, island::BIGINT AS island, min(r) AS r FROM l GROU
 def priority_links(spark: SparkSession, d: str) -> DataFrame:
     p, il = purchases(spark, d), island_rows(spark, d, 7200)
     near = L.overlap_pairs(p, il, ["tenth"], 3600)
-    inside = near.filter("user_id = i_user AND ts BETWEEN b_start AND b_end")
+    inside = F.expr("user_id = i_user AND ts BETWEEN b_start AND b_end")
     keyed = W.islands(events(spark, d, "event_type", "props"), BY, "ts", ORDER, 7200).filter(kind("signup"))
     keyed = keyed.select(F.col("user_id").alias("i_user"), "island", (F.col("user_id") % 10).alias("tenth"), F.get_json_object("props", "$.k").cast("int").alias("k")).distinct()
-    return L.ranked_links([("inside", 1.0, inside), ("same_key", 0.9, p.join(keyed, ["tenth", "k"])), ("overlap", 0.5, near)], ["event_id", "i_user", "island"])
+    rules = [("inside", 1.0), ("same_key", 0.9), ("overlap", 0.5)]
+    return L.ranked_links(rules, [(near, F.when(inside, 0).otherwise(2)), (p.join(keyed, ["tenth", "k"]), F.lit(1))], ["event_id", "i_user", "island"])
 
 
 @query(LINKS + "SELECT event_id, i_user, island, CASE r WHEN 0 THEN 'inside' WHEN 1 THEN 'same_key' ELSE 'overlap' END AS link_type, CASE r WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM b")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
 from ..operators import aggregates as A
 from ..operators import windows as W
 from ..session import table
@@ -56,10 +57,34 @@ SELECT o_custkey, commits, net, days, floor(net::DOUBLE / greatest(days, 1))::BI
 )
 def velocity(spark: SparkSession, d: str) -> DataFrame:
     """Totals, net per day (floored, also below zero), test share and ship-to-revert ratio of each author."""
-    v = commits(spark, d).groupBy("o_custkey").agg(
+    return velocity_of(commits(spark, d), ["o_custkey"])
+
+
+@query(
+    COMMITS
+    + """SELECT o_orderpriority, count(*) AS commits, (sum(ins) - 2 * sum(dels))::BIGINT AS net, (date_diff('day', min(day), max(day)) + 1)::BIGINT AS days, floor((sum(ins) - 2 * sum(dels))::DOUBLE / greatest(date_diff('day', min(day), max(day)) + 1, 1))::BIGINT AS net_per_day,
+  (sum(test_files) * 1000 // sum(files))::BIGINT AS test_permille, (CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') = 0 THEN 0 ELSE count(*) FILTER (WHERE o_orderstatus = 'F') * 1000 // count(*) FILTER (WHERE o_orderstatus = 'P') END)::BIGINT AS ship_revert_permille
+FROM c WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) OR lower(o_orderpriority) = '5-low' GROUP BY 1"""
+)
+def author_velocity(spark: SparkSession, d: str) -> DataFrame:
+    """Velocity of chosen authors' commits: a set of ids, or a name whatever its case."""
+    rich = table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("_rich"))
+    chosen = commits(spark, d).join(rich, "o_custkey", "left").filter(F.col("_rich").isNotNull() | (F.lower("o_orderpriority") == "5-low"))
+    return velocity_of(chosen, ["o_orderpriority"])
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC")
+def listing(spark: SparkSession, d: str) -> DataFrame:
+    """All orders, the newest first: a range exchange and a sort of every partition."""
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+
+
+def velocity_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The block of velocity figures of each group of commits."""
+    v = rows.groupBy(*by).agg(
         F.count("*").alias("commits"), (F.sum("ins") - 2 * F.sum("dels")).alias("net"), A.day_span(F.min("day"), F.max("day")).cast("long").alias("days"), F.sum("test_files").alias("tf"), F.sum("files").alias("f"), F.count_if(F.col("o_orderstatus") == "F").alias("ships"), F.count_if(F.col("o_orderstatus") == "P").alias("reverts")
     )
-    return v.select("o_custkey", "commits", "net", "days", A.floor_div(F.col("net"), F.col("days")).cast("long").alias("net_per_day"), F.expr("tf * 1000 div f").alias("test_permille"), F.expr("CASE WHEN reverts = 0 THEN 0 ELSE ships * 1000 div reverts END").cast("long").alias("ship_revert_permille"))
+    return v.select(*by, "commits", "net", "days", A.floor_div(F.col("net"), F.col("days")).cast("long").alias("net_per_day"), F.expr("tf * 1000 div f").alias("test_permille"), F.expr("CASE WHEN reverts = 0 THEN 0 ELSE ships * 1000 div reverts END").cast("long").alias("ship_revert_permille"))
 
 
 @query(
@@ -259,12 +284,13 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id").distinct().join(rows.filter(kind("error") & (F.col("value") > 50)).select("user_id"), "user_id", "left_semi")
 
 
-@query("SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND len(string_split(text, ' ')) >= 20 AND NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = c.turn + 1 AND x.role = 'assistant')")
+@query("SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND conv_id % 7 NOT IN (1, 2) AND len(string_split(text, ' ')) >= 20 AND NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = c.turn + 1 AND x.role = 'assistant')")
 def unpaired_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Long directives that no answer follows."""
-    c = table(spark, d, "conversations")
+    """Long directives that no answer follows; messages that carry on or hand over a plan are none."""
+    begun = F.when(F.col("conv_id") % 7 == 1, "This session is being continued ").when(F.col("conv_id") % 7 == 2, " Implement the following plan: ").otherwise("")
+    c = table(spark, d, "conversations").withColumn("text", F.concat(begun, F.col("text")))
     answered = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"))
-    long = c.filter((F.col("role") == "user") & (F.size(F.split("text", " ")) >= 20)).select("conv_id", "turn")
+    long = c.filter((F.col("role") == "user") & C.candidate_directive("text", 20)).select("conv_id", "turn")
     return long.join(answered, ["conv_id", "turn"], "left_anti")
 
 

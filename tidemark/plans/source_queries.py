@@ -40,8 +40,8 @@ def told(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def four_dialects(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of every conversation's user and assistant turns, in one of four dialects by conv_id."""
-    c = table(spark, d, "conversations").filter("role IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    """Lines of every conversation, in one of four dialects by conv_id; what a system says stands in the user's name, as in real logs."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), "text")
     part = lambda i: c.filter(F.col("conv_id") % 4 == i)
     is_user = F.col("role") == "user"
     native = told(part(0), F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
@@ -52,7 +52,7 @@ def four_dialects(spark: SparkSession, d: str) -> DataFrame:
     return native.unionAll(codex).unionAll(gemini).unionAll(head).unionAll(opencode)
 
 
-@query("SELECT conv_id::VARCHAR AS path, role, text, CASE conv_id % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'codex_cli' WHEN 2 THEN 'gemini_cli' ELSE 'opencode' END AS dialect FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
+@query("SELECT conv_id::VARCHAR AS path, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS role, text, CASE conv_id % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'codex_cli' WHEN 2 THEN 'gemini_cli' ELSE 'opencode' END AS dialect FROM conversations WHERE trim(text) <> ''")
 def dialect_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Four dialects told apart by their first lines and brought to canonical entries."""
     lines = four_dialects(spark, d)
@@ -63,19 +63,20 @@ def dialect_normalize(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT conv_id, turn FROM conversations), m AS (SELECT conv_id, bool_or(turn = 2) AS has2 FROM c GROUP BY 1),
 k AS (SELECT conv_id, turn FROM c JOIN m USING (conv_id) WHERE conv_id % 3 <> 0 OR (has2 AND turn < 2) UNION SELECT conv_id, 0 FROM m WHERE conv_id % 3 = 0)
-SELECT conv_id::VARCHAR AS path, 'm' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place FROM k"""
+SELECT conv_id::VARCHAR AS path, 'm' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place, CASE WHEN conv_id % 3 = 0 AND turn = 0 THEN 'again' ELSE text END AS text FROM k LEFT JOIN conversations USING (conv_id, turn)"""
 )
 def mutation_log_replay(spark: SparkSession, d: str) -> DataFrame:
     """A log of upserts; every third one rewinds to its third message (or clears, if it has none) and then repeats the first."""
-    c = table(spark, d, "conversations").select("conv_id", "turn")
-    put = told(c, F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), F.lit("user").alias("type")))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    put = told(c, F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), F.lit("user").alias("type"), F.col("text").alias("content")))
     third = c.filter("conv_id % 3 = 0").select("conv_id").distinct()
     back = third.select(F.col("conv_id").cast("string").alias("path"), F.lit(1 << 20).alias("line_no"), F.lit('{"$rewindTo":"m2"}').alias("line"))
-    again = third.select(F.col("conv_id").cast("string").alias("path"), F.lit((1 << 20) + 1).alias("line_no"), F.lit('{"id":"m0","type":"user"}').alias("line"))
-    return D.replayed(L.json_entries(put.unionAll(back).unionAll(again))).select("path", "id", F.col("place").cast("int").alias("place"))
+    again = third.select(F.col("conv_id").cast("string").alias("path"), F.lit((1 << 20) + 1).alias("line_no"), F.lit('{"id":"m0","type":"user","content":"again"}').alias("line"))
+    found = D.replayed(L.json_entries(put.unionAll(back).unionAll(again)))
+    return found.select("path", "id", F.col("place").cast("int").alias("place"), F.get_json_object("rec", "$.content").alias("text"))
 
 
-@query("SELECT conv_id::VARCHAR AS session, count(*) AS n_directives, max(n)::INT AS last_index FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE role = 'user' AND trim(text) <> '') GROUP BY 1")
+@query("SELECT conv_id::VARCHAR AS session, count(*) AS n_directives, max(n)::INT AS last_index FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE role <> 'assistant' AND trim(text) <> '') GROUP BY 1")
 def session_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events of sessions in four dialects: invented texts hold no proposal, so the directives are all of them."""
     lines = four_dialects(spark, d)

@@ -67,6 +67,13 @@ def indexed(index: DataFrame, built: DataFrame) -> DataFrame:
     return index.select("session_id", "first_prompt", "branch").unionByName(rest.select("session_id", "first_prompt", "branch"))
 
 
+def sidecar(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+    """Metadata of two places under one key, value by value: the first place's unless it has none. Both have the same columns."""
+    rest = [c for c in first.columns if c not in key]
+    other = second.select(*key, *[F.col(c).alias(f"_{c}") for c in rest])
+    return first.join(other, key, "full").select(*key, *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in rest])
+
+
 def collected(heads: DataFrame, remote: str | None = None, since: Column | None = None, depth: int = 6) -> DataFrame:
     """Session files of a repository. heads: path, mtime, line (the first one), root (the folder searched). Adds session_id, remote and bucket.
 

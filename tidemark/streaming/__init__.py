@@ -64,3 +64,13 @@ def mutation_log(ops: DataFrame) -> DataFrame:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     return ops.groupBy("path").applyInPandasWithState(fold, "path string, n int, ids array<string>", "ids array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to(stream: DataFrame, path: str, mode: str, state: str) -> None:
+    """Runs a stream over what is there into a Parquet folder: appended rows, or (complete, update) the rows of the last batch. state: the checkpoint's folder."""
+    write = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        query = write.format("parquet").option("path", path).start()
+    else:
+        query = write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    query.awaitTermination()
