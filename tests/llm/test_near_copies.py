@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.llm import near_copies
+from tidemark.llm import near_copies, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -72,12 +72,37 @@ def test_planted_copies(spark):
     assert near_copies.keep_one(docs.limit(0)).count() == 0
 
 
-def test_links_need_no_rounds(spark):
-    texts = planted()[:40]
+@pytest.mark.parametrize("block", [4096, 3])
+def test_links_in_blocks(spark, monkeypatch, block):
+    """Buckets that are dealt in blocks lose no link."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = near_copies.prints(docs)
     node = {r.doc_id: r.node for r in found.select("doc_id", "node").collect()}
-    roots = {r.node: r.root for r in near_copies.links(docs, found, 0).collect()}
+    roots = {r.node: r.root for r in near_copies.links(docs, found).collect()}
     got = [roots.get(node[i], node[i]) for i in range(len(texts))]
     want = brute_groups(texts)
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_planes_against_distances():
+    draw = random.Random(5)
+    for n in (1, 2, 9, 70):
+        words = [draw.getrandbits(64) & draw.getrandbits(64) for _ in range(n)]
+        planes = simhash.Planes(words)
+        for radius in (0, 1, 2, 9, 16, 26, 40):
+            q = draw.choice(words) ^ 1 << draw.randrange(64)
+            left = draw.getrandbits(n) | 1
+            assert planes.near(q, radius, left) == sum(1 << i for i, w in enumerate(words) if left >> i & 1 and (w ^ q).bit_count() <= radius)
+
+
+def test_odd_rows(spark):
+    """Null ids and texts, repeated ids and rows, extra columns of any name, an empty table."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(None, a, 1, "x", 1.0), (None, b, 2, "y", 2.0), (3, a.upper(), 3, "z", 3.0), (3, b + " end", 4, "w", 4.0), (3, b + " end", 4, "w", 4.0), (5, None, 5, "v", 5.0), (6, " ", 6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int, row string, _hash double")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "", r.node) for r in kept.collect()) == sorted([(3, a.upper(), 3), (3, b + " end", 4), (5, "", 5)])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0

@@ -37,7 +37,8 @@ def test_bucket_links_join_all_chains(words, radius):
         return x
 
     links = list(simhash.bucket_links(members, list(range(12)), radius))
-    for a, b in links:
+    for a, near, b in ((members[r], members[n], members[i]) for r, n, i in links):
+        assert (near ^ b).bit_count() <= radius
         made[max(find2(a), find2(b))] = min(find2(a), find2(b))
     assert len(links) < len(members) and {m: find2(m) for m in members} == {m: find(m) for m in members}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,48 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only a local master, where driver and executors are one process, may leave it unset: a folder in the session's warehouse is used then.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidemark-shared"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in this application's part of the shared folder, which goes when the application ends."""
-    top = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(top)
-    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    top = re.sub("^file:/+", "file:///", files.makeQualified(jpath).toString())  # with its scheme, for readers that are not Hadoop's
-    if not files.exists(jpath):
-        files.mkdirs(jpath)
-        files.deleteOnExit(jpath)
-    return f"{top}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and no executor is needed for it."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df."""
-    if path := getattr(df, "_tidemark_path", None):
-        jvm = df.sparkSession._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+from ..storage import forget, new_path, shared_dir, stored  # noqa: F401
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,11 +29,21 @@ def one_of_each(docs: DataFrame, found: DataFrame, roots: DataFrame) -> DataFram
     named = rooted.groupBy("root").agg(F.min("first").alias("least"))
     classes = rooted.join(named, "root").select("node", "least")
     lost = found.join(classes, "node").filter("not (doc_id <=> least.doc_id and row = least.row)").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.withColumn("_hash", text_hash).join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left_anti")
+    mine, his, its = unused(docs.columns, "text_hash"), unused(docs.columns, "lost_id"), unused(docs.columns, "lost_row")
+    lost = lost.select(F.col("_id").alias(his), F.col("_row").alias(its))
+    hashed = docs.withColumn(mine, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = hashed.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(his)) & (F.col(mine) == F.col(its)), "left_anti")
     if not found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return kept.drop("_hash")
+        kept = kept.dropDuplicates(["doc_id", mine])
+    return kept.drop(mine)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def per_text(docs: DataFrame, make: Callable[[], Callable[[list, list], dict[str, list]]], schema: str) -> DataFrame:

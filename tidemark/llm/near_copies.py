@@ -1,31 +1,42 @@
-"""Near copies by shared five-word shingles (the pipeline's near-duplicate stage).
+"""SimHash near-duplicates at a similarity of 0.8 of five-word shingles (the pipeline's form of operator 4).
 
-Two texts are linked if the Jaccard similarity of their sets of SHINGLE-word shingles is at least 0.8.
-Candidates share one of BANDS keys, each made of ROWS minima of the set under fixed permutations: a pair at
-0.8 exactly is missed with probability (1 - 0.8^6)^40 = 5e-6, more similar ones less often. Every link is
-confirmed on the whole sets. A SimHash radius that covers 0.8 has no useful split: at 0.8 the fingerprints
-differ in about ten of 64 bits on average.
+Two texts are linked if the Jaccard similarity of their sets of SHINGLE-word shingles is at least 0.8. At 0.8 the SimHash fingerprints of the sets differ
+in about ten of 64 bits (standard deviation three), which blocks of equal bits cannot split. So buckets are dealt by MinHash: texts meet if they share one
+of BANDS keys, each made of ROWS minima of the set under fixed permutations; a pair at 0.8 exactly is missed with probability
+(1 - 0.8^6)^40 = 5e-6, more similar ones less often. Inside a bucket the fingerprints are compared bit-sliced (simhash.Planes), and
+what they propose is confirmed on the whole sets, so that no link is a guess.
 
-In each of ROUNDS rounds a text is compared with one member of its buckets, each time another; members that
-links have joined need no more comparison, and what is left in several components is compared pair by pair. No bucket is capped.
+1. Every bucket is linked by chains of fingerprints within NEAR bits; each text keeps the neighbour that comes first by hash, and the pair is confirmed.
+   A bucket of more than BLOCK texts is dealt in blocks by hash, each with the bucket's least text.
+2. Buckets that still hold several components are gone through again: members outside the bucket's largest component look for
+   one other component within NEAR bits.
+3. What is left after that is compared within FAR bits (five standard deviations), every pair of different components.
+
+So a large group costs a pass of each member over its planes, and pairs only for members that the first passes leave apart; none is capped.
 
 Defined cases: words as for the fingerprints (bytes, A-Z folded, ASCII white space); a text of fewer words is
-one shingle; null, empty and white space only are equal to each other; equal sets are one node.
+one shingle; null, empty and white space only are equal to each other; equal sets are one node; rows that share a doc_id, null included, are
+decided each by its text, rows that share both are one; other columns pass through whatever they are called; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, keyed_texts, one_of_each, per_text, stored
 from .graph import components
-from .simhash import signed
+from .simhash import Planes, bits, bucket_links, majority, signed
 
-#: FEW: candidates that may be broadcast.
-SHINGLE, SEED, ROWS, BANDS, ROUNDS, FEW = 5, 42, 6, 40, 3, 1_000_000
+SHINGLE, SEED, ROWS, BANDS = 5, 42, 6, 40
+#: Bits within which the first passes propose links, and the last one; texts of a block of a bucket; ids that may be broadcast.
+NEAR, FAR, BLOCK, FEW = 16, 26, 4096, 1_000_000
 _draw = np.random.default_rng(11)
 FLIP = _draw.integers(0, 1 << 32, ROWS * BANDS, np.uint32)
 FACTOR = _draw.integers(0, 1 << 32, ROWS * BANDS, np.uint32) | np.uint32(1)
@@ -56,17 +67,18 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), node (digest of the set), shingles and bands of every row."""
+    """doc_id, row (hash of the text), node (digest of the set), fp (SimHash of the set) and bands of every row."""
 
     def make():
         def work(ids: list, texts: list) -> dict[str, list]:
             sets = [shingles(t) for t in texts]
             digest = lambda raw: signed(xxhash.xxh64_intdigest(raw, SEED))
-            return {"doc_id": ids, "row": [digest(t.encode("utf-8")) for t in texts], "node": [digest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]}
+            fps = [signed(majority(s.view("<u8"))) for s in sets]
+            return {"doc_id": ids, "row": [digest(t.encode("utf-8")) for t in texts], "node": [digest(s.tobytes()) for s in sets], "fp": fps, "bands": [bands(s) for s in sets]}
 
         return work
 
-    return per_text(keyed_texts(docs), make, "doc_id long, row long, node long, bands array<long>")
+    return per_text(keyed_texts(docs), make, "doc_id long, row long, node long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -81,46 +93,123 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return per_text(texts.select("node", "text"), make, "node long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets (node, shingles) have a similarity of at least 0.8."""
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets (node, shingles) are at least so similar."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def links(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    share = int(round(similarity * 1000))
+    return both.filter((1000 + share) * shared >= share * total).select("a", "b")
+
+
+def blocks(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The other columns of consecutive rows that share the first `keys` columns; rows come in their order."""
+    last, held = None, []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in columns[:keys]:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in columns[:keys])
+            if key != last:
+                if held:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                last, held = key, []
+            held.append([c[a:b] for c in columns[keys:]])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def pair_rows(batches: Iterable[pa.RecordBatch], keys: int, find: Callable[..., Iterator[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """What find(columns of a block) gives, as rows a, b."""
+    out: list[tuple[int, int]] = []
+    for block in blocks(batches, keys):
+        out += find(*block)
+        if len(out) > 1 << 16:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            out = []
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def chains(nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(near, node) for every member of a block that a chain of fingerprints within NEAR bits reaches."""
+    ids = nodes.tolist()
+    for _, near, i in bucket_links(fps.view("<u8").tolist(), range(64), NEAR):
+        yield ids[near], ids[i]
+
+
+def strangers(radius: int, every: bool) -> Callable[..., Iterator[tuple[int, int]]]:
+    """Finds, for members that ask, members of other components within the radius: all of them, or one."""
+
+    def find(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, asks: np.ndarray) -> Iterator[tuple[int, int]]:
+        members, queries = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+        words, planes = fps.view("<u8").tolist(), Planes(fps[members].view("<u8").tolist())
+        own: dict[int, int] = {}
+        for i, r in enumerate(roots[members].tolist()):
+            own[r] = own.get(r, 0) | 1 << i
+        for q in queries.tolist():
+            near = planes.near(words[q], radius, planes.everyone & ~own.get(int(roots[q]), 0))
+            for i in bits(near) if every else bits(near & -near):
+                yield int(nodes[q]), int(nodes[members[i]])
+
+    return find
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def first_pairs(left: DataFrame, sizes: DataFrame, fps: DataFrame) -> DataFrame:
+    """Pass 1: one neighbour of each node. left: node, k; sizes: k, n, least (its least node)."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = left.join(sizes, "k").join(fps, "node").select("k", F.pmod(F.xxhash64("node"), parts).cast("int").alias("block"), "node", "fp")
+    several = sizes.filter(F.col("n") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+    shared = several.select("k", "block", F.col("least").alias("node")).join(fps, "node").select("k", "block", "node", "fp")
+    dealt = rows.unionByName(shared).distinct().repartition("k", "block").sortWithinPartitions("k", "block")
+    met = dealt.mapInArrow(lambda batches: pair_rows(batches, 2, chains), "a long, b long")
+    return ordered(met.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")))
+
+
+def other_pairs(left: DataFrame, roots: DataFrame, fps: DataFrame, radius: int, every: bool) -> DataFrame:
+    """Passes 2 and 3: pairs of nodes of one bucket that no links join yet."""
+    rest = left.join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root"))
+    counts = rest.groupBy("k", "root").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("r"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("r > 1")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rest.join(mixed, "k").join(fps, "node").withColumn("parts", parts)
+    members = rows.select("k", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block"), "node", "fp", "root", F.lit(0).alias("asks"))
+    asking = rows.filter("root <> major").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "node", "fp", "root", F.lit(1).alias("asks"))
+    dealt = members.unionByName(asking).repartition("k", "block").sortWithinPartitions("k", "block")
+    met = dealt.mapInArrow(lambda batches: pair_rows(batches, 2, strangers(radius, every)), "a long, b long")
+    return ordered(met if every else met.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b")))
+
+
+def links(docs: DataFrame, found: DataFrame, similarity: float = 0.8) -> DataFrame:
     """found: prints of docs. Returns node, root of the nodes that links join, but for the roots."""
     listed = found.select("node", F.explode("bands").alias("k")).distinct()
-    several = listed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    left = stored(listed.join(several, "k"), "buckets")
-    rows = found.select("node", "row").join(left.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row"))
-    sets = stored(shingle_sets(docs, rows), "sets")
-    made, roots = None, None
-    for turn in range(rounds + 1):
-        if roots is None:
-            rest = left.withColumn("root", F.col("node"))
-        else:
-            rest = left.join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root"))
-        mixed = rest.groupBy("k").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        if turn < rounds:
-            met = rest.join(mixed.select("k", "c"), "k").filter("c.root <> root").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-            pairs = met.groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a"))
-        else:
-            inside = rest.join(mixed.select("k"), "k")
-            pairs = inside.join(inside.select("k", F.col("node").alias("b"), F.col("root").alias("other")), "k").filter("root < other").select(F.col("node").alias("a"), "b")
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        new = stored(confirmed(pairs, sets), "links")
+    sizes = listed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    left = stored(listed.join(sizes.select("k"), "k"), "buckets")
+    nodes = left.select("node").distinct()
+    known = stored(found.join(nodes, "node").groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp")), "nodes")
+    fps, sets = known.select("node", "fp"), stored(shingle_sets(docs, known.select("node", "row")), "sets")
+    sizes = left.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    made, roots = [], None
+    steps = (lambda r: first_pairs(left, sizes, fps), lambda r: other_pairs(left, r, fps, NEAR, False), lambda r: other_pairs(left, r, fps, FAR, True))
+    for step in steps:
+        pairs = stored(step(roots), "pairs")
+        made.append(stored(confirmed(pairs, sets, similarity), "links"))
         forget(pairs)
-        made = new if made is None else made.unionAll(new)
-        roots = components(made)
-    for x in (left, sets):
+        roots = components(reduce(DataFrame.unionAll, made))
+    for x in (left, sets, known):
         forget(x)
-    return roots if roots is not None else found.sparkSession.range(0).selectExpr("id AS node", "id AS root")
+    return roots
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of linked texts: the least doc_id's (null last)."""
     found = stored(prints(docs), "prints")
-    return one_of_each(docs, found.select("doc_id", "row", "node"), links(docs, found))
+    return one_of_each(docs, found.select("doc_id", "row", "node"), links(docs, found, similarity))

@@ -19,7 +19,7 @@ names a component (null if it has no other id); repeated rows keep a row each.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -46,7 +46,11 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
         return hashed(joined, SEED)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: len(words) - width].tolist()]
-    h = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return majority(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The word whose bits are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = h[at : at + (1 << 14)]
@@ -74,37 +78,58 @@ def block_masks(radius: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, 3)]
 
 
-def bucket_links(members: list[int], free: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links (root, member) that connect all members of a bucket that chains of close pairs connect.
+class Planes:
+    """Fingerprints stood vertically: one integer for each bit position, with a bit for each member."""
+
+    def __init__(self, members: list[int], free: Sequence[int] = range(64)):
+        self.free, self.everyone = free, (1 << len(members)) - 1
+        rows = np.unpackbits(np.array(members, "<u8").view(np.uint8).reshape(len(members), 8), axis=1, bitorder="little")
+        packed = np.packbits(rows[:, list(free)].T, axis=1, bitorder="little")
+        self.planes = [int.from_bytes(p.tobytes(), "little") for p in packed]
+
+    def near(self, q: int, radius: int, left: int) -> int:
+        """Members of `left` within the radius of q: carry-save counters add one differing plane after the other, until all are over it."""
+        counts = [0] * (radius.bit_length() + 1)  # counts[k]: bit k of every member's distance; the last one sticks
+        over, every = 0, max(1, radius // 2)
+        for at, (b, plane) in enumerate(zip(self.free, self.planes, strict=True), 1):
+            carry = plane ^ self.everyone if q >> b & 1 else plane
+            for k in range(len(counts)):
+                if not carry:
+                    break
+                counts[k], carry = counts[k] ^ carry, counts[k] & carry
+            over |= carry
+            if at % every == 0:
+                over |= exceeds(counts, radius, self.everyone)
+                if over & left == left:
+                    return 0
+        return left & ~(over | exceeds(counts, radius, self.everyone))
+
+
+def bits(mask: int) -> Iterator[int]:
+    """Positions of the bits that are set."""
+    while mask:
+        yield (mask & -mask).bit_length() - 1
+        mask &= mask - 1
 
-    members: distinct 64-bit words; free: bit positions in which they may differ.
+
+def bucket_links(members: list[int], free: Sequence[int], radius: int) -> Iterator[tuple[int, int, int]]:
+    """Places (root, near, member) of links that connect all members of a bucket that chains of close pairs connect.
+
+    members: distinct 64-bit words; free: bit positions in which they may differ; member is within the radius of near, and of root by a chain.
     """
-    n = len(members)
-    everyone = (1 << n) - 1
-    planes = [sum((m >> b & 1) << i for i, m in enumerate(members)) for b in free]
-    left = everyone
+    planes = Planes(members, free)
+    left = planes.everyone
     while left:
         root = (left & -left).bit_length() - 1
         left ^= 1 << root
         queue = [root]
         while queue and left:
-            q = members[queue.pop()]
-            counts = [0] * (radius.bit_length() + 1)  # counts[k]: bit k of every member's distance; the last one sticks
-            over = 0
-            for b, plane in zip(free, planes, strict=True):
-                carry = plane ^ everyone if q >> b & 1 else plane
-                for k in range(len(counts)):
-                    counts[k], carry = counts[k] ^ carry, counts[k] & carry
-                over |= carry | exceeds(counts, radius, everyone)
-                if over & left == left:
-                    break
-            near = left & ~over
+            at = queue.pop()
+            near = planes.near(members[at], radius, left)
             left ^= near
-            while near:
-                i = (near & -near).bit_length() - 1
-                near &= near - 1
+            for i in bits(near):
                 queue.append(i)
-                yield members[root], members[i]
+                yield root, at, i
 
 
 def exceeds(counts: list[int], radius: int, everyone: int) -> int:
@@ -138,7 +163,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
     def flush(t: int, members: np.ndarray, out: list) -> None:
         if len(members) > 1:
-            out += [(signed(a), signed(b)) for a, b in bucket_links([int(x) & MASK for x in members], free[t], radius)]
+            words = [int(x) & MASK for x in members]
+            out += [(signed(words[a]), signed(words[b])) for a, _, b in bucket_links(words, free[t], radius)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rest = None, []
@@ -188,8 +214,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of the least doc_id (null last); rows of one doc_id with other texts are decided each for itself."""
+def keep_one(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component, that of the least doc_id (null last); rows of one doc_id with other texts are decided each for itself.
+
+    Without a similarity, fingerprints of the query's kind link within RADIUS. With one (0.8 is what near_copies is made for), texts link whose sets of
+    five-word shingles are that similar: no split by blocks reaches so far, so that near_copies deals the buckets and confirms what the
+    bit-sliced comparison proposes.
+    """
+    if similarity is not None:
+        from . import near_copies
+
+        return near_copies.keep_one(docs, similarity)
     prints = stored(fingerprints(docs, keyed=True), "fingerprints")
     roots = components(links(prints.select("fp").distinct()))
     return one_of_each(docs, prints.select("doc_id", "row", F.col("fp").alias("node")), roots)
