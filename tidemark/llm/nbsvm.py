@@ -270,8 +270,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int =
             found = [features(t).astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "f"])
 
-    got = sorted(texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().to_pylist(), key=lambda r: (r["doc_id"], len(r["f"])))
-    return train([np.array(r["f"], np.int64) for r in got], [r["y"] for r in got])
+    got = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    if not got.num_rows:
+        return train([], [])
+    lists = got.column("f").chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return train([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], got.column("y").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
