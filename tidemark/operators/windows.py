@@ -200,6 +200,29 @@ def greedy_chunks(df: DataFrame, by: Names, order: Names, tokens: str, opens: st
     return rows.select(*by, "chunk", "_x.n_rows", "_x.n_tokens")
 
 
+def row_numbers(df: DataFrame, by: Names, order: Names, name: str, seconds: int = 21_600, numbers: int = 10_000) -> DataFrame:
+    """df with each row's number in its stream (from 1) and `_total`, the rows of the stream.
+
+    Where the first order column is a time or a whole number, rows are numbered inside blocks of it and the rows of the blocks before are
+    added: a stream that holds a third of all rows is as many tasks as it has blocks, and only a row a block is ordered by stream. df is
+    read twice for it, so this is for rows that are cheap to read.
+    """
+    kind = dict(df.dtypes).get(order[0])
+    if kind in ("timestamp", "timestamp_ntz"):
+        block = F.floor(micros(order[0]) / (seconds * 1_000_000))
+    elif kind in ("int", "bigint"):
+        block = F.floor(F.col(order[0]) / numbers)
+    else:
+        return df.withColumn(name, F.row_number().over(stream(by, order))).withColumn("_total", F.count("*").over(Window.partitionBy(*by)))
+    rows = df.withColumn("_b", F.coalesce(block, F.lit(-(1 << 62))))  # nulls come first
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(*by, "_b", before.alias("_before"), F.sum("_c").over(whole).alias("_total"))
+    inside = F.row_number().over(stream([*by, "_b"], order))
+    return rows.withColumn("_i", inside).join(placed, [*by, "_b"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
+
+
 def capped(df: DataFrame, by: Names, order: Names, cap: int, exempt: Column) -> DataFrame:
     """The first cap rows of each stream and the exempt rows after them; truncated tells whether any row was dropped."""
     rows = df.withColumn("_n", F.row_number().over(stream(by, order))).withColumn("_keep", (F.col("_n") <= cap) | exempt)
@@ -218,15 +241,16 @@ def eta(df: DataFrame, by: Names, order: Names, done: str, ts: str, total: int,
 
 def batches(df: DataFrame, by: Names, order: Names, size: int) -> DataFrame:
     """Consecutive batches of a fixed size; the last one may be short."""
-    return df.withColumn("batch", F.floor((F.row_number().over(stream(by, order)) - 1) / size))
+    return row_numbers(df, by, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n", "_total")
 
 
 def even_split(df: DataFrame, by: Names, order: Names, tokens: str, limit: int) -> DataFrame:
     """Cuts each stream into ceil(tokens / limit) slices of one length in rows; the last one may be short."""
-    whole = Window.partitionBy(*by)
-    parts = F.greatest(F.ceil(F.sum(tokens).over(whole) / limit), F.lit(1))
-    length = F.ceil(F.count("*").over(whole) / parts)
-    return df.withColumn("part", F.floor((F.row_number().over(stream(by, order)) - 1) / length))
+    sums = df.groupBy(*by).agg(F.sum(tokens).alias("_t"))
+    rows = row_numbers(df, by, order, "_n").join(sums, list(by))
+    parts = F.greatest(F.ceil(F.col("_t") / limit), F.lit(1))
+    length = F.ceil(F.col("_total") / parts)
+    return rows.withColumn("part", F.floor((F.col("_n") - 1) / length)).drop("_n", "_total", "_t")
 
 
 def result_patch(df: DataFrame, by: Names, order: Names, pending: Column, result: Column) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lines import get
+from ..storage import new_path
+from .lines import get, json_entries
 
 BLOCK = "struct<type:string,text:string,name:string,id:string,tool_use_id:string,input:string,is_error:boolean>"
 #: Tool names of other dialects under their canonical name. Fixed values.
@@ -270,9 +271,17 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {"native": native, "c
 
 
 def normalized(entries: DataFrame, dialects: DataFrame) -> DataFrame:
-    """Entries of files in any dialect as canonical rows; each dialect reads only its files."""
-    tagged, out = entries.join(dialects, "path"), None
+    """Entries of files in any dialect as canonical rows. entries: path, line_no, line (as json_entries gives them).
+
+    The lines are written once, a folder for each dialect, so that the source is read once and each dialect parses only its own files.
+    """
+    spark, path = entries.sparkSession, new_path(entries.sparkSession, "dialects")
+    tagged = entries.select("path", "line_no", "line").join(dialects, "path")
+    tagged.write.partitionBy("dialect").parquet(path)
+    kinds = {f.name: f.dataType.simpleString() for f in tagged.schema}
+    rows = spark.read.schema(", ".join(f"{c} {kinds[c]}" for c in ("path", "line_no", "line", "dialect"))).parquet(path)
+    out = None
     for name, f in NORMALIZERS.items():
-        part = f(tagged.filter(F.col("dialect") == name).drop("dialect")).withColumn("dialect", F.lit(name))
+        part = f(json_entries(rows.filter(F.col("dialect") == name).drop("dialect"))).withColumn("dialect", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
