@@ -178,7 +178,7 @@ def test_suffix_dedup(spark, options, monkeypatch):
     if options.get("sampled"):
         monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 20_000)  # so that keys of a few chunks are hot
         core = suffix_dedup.tagged(docs).select("doc", "tag", "text")
-        assert len(suffix_dedup.hot_keys(core, 512 << 10, 8 << 20, 1 << 20, 1)) > 5
+        assert len(suffix_dedup.hot_keys(core, 512 << 10, 8 << 20, 256 << 10, 1)) > 5
     got = suffix_dedup.described(suffix_dedup.remove_repeats(docs, **options)).collect()
     assert sorted((1 << 63 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_cut(rows)
 

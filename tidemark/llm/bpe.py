@@ -31,7 +31,7 @@ EXTRA_SPLIT = regex.compile("[\x1c-\x1f]")
 #: The vocabulary's pre-tokenizer pattern. Fixed value.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: Cached chunks and words of one worker; a longer one is never cached.
-CACHED, CACHED_CHARS = 500_000, 64
+CACHED, CACHED_CHARS = 250_000, 64
 
 
 def byte_letters() -> list[str]:

@@ -2,7 +2,7 @@
 
 Features of a text are indicators of n-grams over three alphabets: byte classes (case,
 digit, each mark, other letter), word forms (first and last class, and whether the
-word repeats one of the two before it) and the words themselves, folded (words and pairs that
+word repeats one of the two before it) and the words themselves, folded (words that
 few training texts hold count nothing). Every indicator is scaled by the log ratio of its
 smoothed counts in both classes; a hinge-loss model is fitted to the scaled vectors by
 dual coordinate descent; a sigmoid maps margins to scores, fitted as if both classes were equally frequent.
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, slices
 
 #: The most labelled rows of each class that a model is fitted on.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 BYTE_BITS, WORD_BITS, LEXICAL_BITS = 16, 16, 18
 DIM = (1 << BYTE_BITS) + (1 << WORD_BITS) + (1 << LEXICAL_BITS)
-#: Training texts that a word or pair of words must stand in to count.
+#: Training texts that a word must stand in to count.
 LEAST_TEXTS = 10
 #: Bytes of a text that one numpy pass handles.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 def byte_classes() -> np.ndarray:
@@ -127,7 +127,7 @@ class Words:
 
 
 #: Longest n-grams of bytes, word forms and words.
-BYTE_GRAMS, FORM_GRAMS, WORD_GRAMS = 3, 4, 2
+BYTE_GRAMS, FORM_GRAMS, WORD_GRAMS = 3, 4, 1
 
 
 def features(text: str) -> np.ndarray:
@@ -144,7 +144,7 @@ def features(text: str) -> np.ndarray:
         for i, (new, longest, bits, salt) in enumerate(((classes.astype(np.uint64), BYTE_GRAMS, BYTE_BITS, 1), (forms, FORM_GRAMS, WORD_BITS, 11), (words, WORD_GRAMS, LEXICAL_BITS, 21))):
             symbols = np.concatenate([tails[i], new]) if len(tails[i]) else new
             found += [x + first for x in ngram_indices(symbols, longest, bits, salt)]
-            tails[i], first = symbols[-(longest - 1) :], first + (1 << bits)
+            tails[i], first = symbols[len(symbols) - min(longest - 1, len(symbols)) :], first + (1 << bits)
         got = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
         seen = got if seen is None else distinct(np.concatenate([seen, got]))
     return seen
@@ -236,7 +236,7 @@ def train(rows: list[np.ndarray], labels: list[int], cost: float = 1.0) -> Model
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(DIM), np.zeros(DIM), 0, 0, 0, share=float((y > 0).mean()) if len(y) else 0.5)
     ratios = log_count_ratios(rows, y)
-    values = [(v := ratios[f]) / (float(v @ v) ** 0.5 or 1.0) for f in rows]
+    values = [((v := ratios[f]) / (float(v @ v) ** 0.5 or 1.0)).astype(np.float32) for f in rows]
     weight = np.where(y > 0, len(y) / 2 / (y > 0).sum(), len(y) / 2 / (y < 0).sum()) * cost
     w, bias = dual_coordinate_descent(rows, values, y, weight)
     margins = np.array([float(w[f] @ v) + bias for f, v in zip(rows, values, strict=True)])
@@ -267,8 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t).astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "f"])
+            for part in slices(batch, 128):
+                found = [features(t).astype(np.int32) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "f"])
 
     got = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
@@ -294,7 +295,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 256):
                 texts = part.column(at).to_pylist()
                 yield part.filter(pa.array([model.score(t or "") >= threshold for t in texts], pa.bool_()))
 

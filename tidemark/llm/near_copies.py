@@ -6,15 +6,14 @@ of BANDS keys, each made of ROWS minima of the set under fixed permutations; a p
 (1 - 0.8^6)^40 = 5e-6, more similar ones less often. Inside a bucket the fingerprints are compared bit-sliced (simhash.Planes), and
 what they propose is confirmed on the whole sets, so that no link is a guess.
 
-1. Every bucket is linked by chains of fingerprints within NEAR bits; each text keeps the neighbour that comes first by hash, and the pair is confirmed.
+1. Every bucket is linked by chains of fingerprints within NEAR bits, fewer links than it has members; FIRST of each text's are confirmed.
    A bucket of more than BLOCK texts is dealt in blocks by hash, each with the bucket's least text.
-2. Buckets that still hold several components are gone through again: members outside the bucket's largest component look for
-   one other component within NEAR bits.
-3. What is left after that is compared within FAR bits (five standard deviations), every pair of different components. Such a pair goes on to be
+2. Buckets that still hold several components are gone through again: members outside the bucket's largest component are compared
+   with all of other components within FAR bits (five standard deviations). Such a pair goes on to be
    confirmed only if at least AGREE of its ROWS * BANDS minima agree, by a byte of each (192 on average at 0.8, standard deviation six), and only from the
    first of the buckets that it shares.
 
-So a large group costs a pass of each member over its planes, and pairs only for members that the first passes leave apart; none is capped.
+So a large group costs a pass of each member over its planes, and pairs only for members that the first pass leaves apart; none is capped.
 The sketches' miss is again below 1e-6 at 0.8 exactly.
 
 Defined cases: words as for the fingerprints (bytes, A-Z folded, ASCII white space); a text of fewer words is
@@ -25,7 +24,6 @@ decided each by its text, rows that share both are one; other columns pass throu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +36,10 @@ from .graph import components
 from .simhash import Planes, bits, bucket_links, majority, signed
 
 SHINGLE, SEED, ROWS, BANDS = 5, 42, 6, 40
-#: Bits within which the first passes propose links, and the last one; texts of a block of a bucket; ids that may be broadcast.
+#: Bits within which the first pass proposes links, and the second; texts of a block of a bucket; ids that may be broadcast.
 NEAR, FAR, BLOCK, FEW = 16, 26, 4096, 1_000_000
+#: Neighbours of a text that the first pass confirms.
+FIRST = 3
 #: Minima that have to agree for a pair to be confirmed on its whole sets.
 AGREE = 161
 _draw = np.random.default_rng(11)
@@ -153,61 +153,52 @@ def chains(nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
         yield ids[near], ids[i]
 
 
-def strangers(radius: int, every: bool) -> Callable[..., Iterator[tuple[int, int]]]:
-    """Finds, for members that ask, members of other components within the radius: one, or all whose sketches agree, in the first bucket that they share."""
-
-    def find(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, asks: np.ndarray, band: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
-        members, queries = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
-        words, planes = fps.view("<u8").tolist(), Planes(fps[members].view("<u8").tolist())
-        own: dict[int, int] = {}
-        for i, r in enumerate(roots[members].tolist()):
-            own[r] = own.get(r, 0) | 1 << i
-        if every:
-            table = np.frombuffer(b"".join(sketches[members].tolist()), np.uint8).reshape(len(members), 8 * BANDS + ROWS * BANDS)
-            met, least = np.ascontiguousarray(table[:, : 8 * BANDS]).view("<i8"), table[:, 8 * BANDS :]
-        for q in queries.tolist():
-            near = planes.near(words[q], radius, planes.everyone & ~own.get(int(roots[q]), 0))
-            if not every:
-                near &= -near
-            places = np.fromiter(bits(near), np.int64)
-            if every and len(places):
-                first = (met[places] == np.frombuffer(sketches[q][: 8 * BANDS], "<i8")).argmax(axis=1)
-                agree = (least[places] == np.frombuffer(sketches[q][8 * BANDS :], np.uint8)).sum(axis=1)
-                places = places[(agree >= AGREE) & (first == band[q])]
-            for i in places.tolist():
+def strangers(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, asks: np.ndarray, band: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For members that ask, members of other components within FAR bits whose sketches agree, if this is the first bucket that both share."""
+    members, queries = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+    words, planes = fps.view("<u8").tolist(), Planes(fps[members].view("<u8").tolist())
+    own: dict[int, int] = {}
+    for i, r in enumerate(roots[members].tolist()):
+        own[r] = own.get(r, 0) | 1 << i
+    table = np.frombuffer(b"".join(sketches[members].tolist()), np.uint8).reshape(len(members), 8 * BANDS + ROWS * BANDS)
+    met, least = np.ascontiguousarray(table[:, : 8 * BANDS]).view("<i8"), table[:, 8 * BANDS :]
+    for q in queries.tolist():
+        places = np.fromiter(bits(planes.near(words[q], FAR, planes.everyone & ~own.get(int(roots[q]), 0))), np.int64)
+        if len(places):
+            first = (met[places] == np.frombuffer(sketches[q][: 8 * BANDS], "<i8")).argmax(axis=1)
+            agree = (least[places] == np.frombuffer(sketches[q][8 * BANDS :], np.uint8)).sum(axis=1)
+            for i in places[(agree >= AGREE) & (first == band[q])].tolist():
                 yield int(nodes[q]), int(nodes[members[i]])
 
-    return find
-
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
 def first_pairs(left: DataFrame, sizes: DataFrame, fps: DataFrame) -> DataFrame:
-    """Pass 1: one neighbour of each node. left: node, k; sizes: k, n, least (its least node)."""
+    """Pass 1: links that chain the members of each bucket. left: node, k; sizes: k, n, least (its least node)."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = left.join(sizes, "k").join(fps, "node").select("k", F.pmod(F.xxhash64("node"), parts).cast("int").alias("block"), "node", "fp")
     several = sizes.filter(F.col("n") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
     shared = several.select("k", "block", F.col("least").alias("node")).join(fps, "node").select("k", "block", "node", "fp")
     dealt = rows.unionByName(shared).distinct().repartition("k", "block").sortWithinPartitions("k", "block")
     met = dealt.mapInArrow(lambda batches: pair_rows(batches, 2, chains), "a long, b long")
-    return ordered(met.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")))
+    # a node is reached once a bucket; of its at most BANDS neighbours a few are confirmed, and pass 2 looks at what they leave apart
+    reached = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", "b").alias("h"), "a"))), 1, FIRST).alias("x"))
+    return ordered(reached.select("b", F.explode("x.a").alias("a")))
 
 
-def other_pairs(left: DataFrame, roots: DataFrame, known: DataFrame, radius: int, every: bool) -> DataFrame:
-    """Passes 2 and 3: pairs of nodes of one bucket that no links join yet. known: node, fp, sketch."""
-    sketch = F.col("sketch") if every else F.lit(None).cast("binary").alias("sketch")
+def other_pairs(left: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Pass 2: pairs of nodes of one bucket that no links join yet. known: node, fp, sketch."""
     rest = left.join(roots, "node", "left").select("node", "k", "band", F.coalesce("root", "node").alias("root"))
     counts = rest.groupBy("k", "root").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("r"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("r > 1")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rest.join(mixed, "k").join(known.select("node", "fp", sketch), "node").withColumn("parts", parts)
+    rows = rest.join(mixed, "k").join(known.select("node", "fp", "sketch"), "node").withColumn("parts", parts)
     members = rows.select("k", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block"), "node", "fp", "root", F.lit(0).alias("asks"), "band", "sketch")
     asking = rows.filter("root <> major").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "node", "fp", "root", F.lit(1).alias("asks"), "band", "sketch")
     dealt = members.unionByName(asking).repartition("k", "block").sortWithinPartitions("k", "block")
-    met = dealt.mapInArrow(lambda batches: pair_rows(batches, 2, strangers(radius, every)), "a long, b long")
-    return ordered(met if every else met.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b")))
+    return ordered(dealt.mapInArrow(lambda batches: pair_rows(batches, 2, strangers), "a long, b long"))
 
 
 def links(docs: DataFrame, found: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -220,13 +211,9 @@ def links(docs: DataFrame, found: DataFrame, similarity: float = 0.8) -> DataFra
     known = stored(found.join(nodes, "node").groupBy("node").agg(one).select("node", "x.*"), "nodes")
     fps, sets = known.select("node", "fp"), stored(shingle_sets(docs, known.select("node", "row")), "sets")
     sizes = left.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    made, roots = [], None
-    steps = (lambda r: first_pairs(left, sizes, fps), lambda r: other_pairs(left, r, known, NEAR, False), lambda r: other_pairs(left, r, known, FAR, True))
-    for step in steps:
-        pairs = stored(step(roots), "pairs")
-        made.append(stored(confirmed(pairs, sets, similarity), "links"))
-        forget(pairs)
-        roots = components(reduce(DataFrame.unionAll, made))
+    first = stored(confirmed(first_pairs(left, sizes, fps), sets, similarity), "links")
+    second = stored(confirmed(other_pairs(left, components(first), known), sets, similarity), "links")
+    roots = components(first.unionAll(second))
     for x in (left, sets, known):
         forget(x)
     return roots

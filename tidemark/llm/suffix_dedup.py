@@ -44,7 +44,7 @@ DEPTH, KEY = 50, 20
 #: Different chunks of one key beyond which its suffixes are dealt one by one.
 HOT = 20_000
 #: Bytes of documents that one block packs together; of text for a bucket at most, and at least where that gives no SPREAD buckets; of a text that one numpy pass hashes.
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BYTES, STRETCH = 8 << 20, 16 << 20, 512 << 10, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BYTES, STRETCH = 8 << 20, 16 << 20, 512 << 10, 256 << 10
 SPREAD = 128
 #: One document of so many is looked at for hot keys; the most hot keys that are told to the workers; bytes of text for each chunk, about.
 SAMPLED, HOT_KEYS, CHUNK_BYTES = 64, 100_000, 12

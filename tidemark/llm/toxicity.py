@@ -263,9 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 3,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(WORD.findall(fold(t))) for t in batch.column(1).to_pylist()]
-            lists = [pa.array([list(x.keys()) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "y", "words", "counts"])
+            for part in slices(batch, 128):
+                found = [Counter(WORD.findall(fold(t))) for t in part.column(1).to_pylist()]
+                lists = [pa.array([list(x.keys()) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "y", "words", "counts"])
 
     got = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<string>, counts array<int>").toArrow().sort_by("doc_id")
     rows = [(y, dict(zip(w.as_py(), n.as_py(), strict=True))) for y, w, n in zip(got.column("y").to_pylist(), got.column("words"), got.column("counts"), strict=True)]
