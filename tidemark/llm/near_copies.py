@@ -39,7 +39,7 @@ SHINGLE, SEED, ROWS, BANDS = 5, 42, 6, 40
 #: Bits within which the first pass proposes links, and the second; texts of a block of a bucket; ids that may be broadcast.
 NEAR, FAR, BLOCK, FEW = 16, 26, 4096, 1_000_000
 #: Neighbours of a text that the first pass confirms.
-FIRST = 3
+FIRST = 40
 #: Minima that have to agree for a pair to be confirmed on its whole sets.
 AGREE = 161
 _draw = np.random.default_rng(11)
