@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.sources import dialects as D
@@ -150,3 +151,22 @@ def test_user_text_cleaner(spark):
     texts = ["<system-reminder>x</system-reminder> real", "<local-command-stdout>", "Caveat: y", "<task-notification>\nz</task-notification>"]
     rows = [{"type": "user", "message": {"role": "user", "content": t}} for t in texts]
     assert [r.text for r in E.cleaned_user_text(D.native(entries(spark, "p", rows))).collect()] == ["real"]
+
+
+def test_events_without_a_cap(spark):
+    rows = [{"type": "user", "message": {"role": "user", "content": f"m{i}"}} for i in range(E.EVENT_CAP + 1)]
+    rows.append({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "name": "Bash", "input": {"command": f'git commit -m "{i}"'}} for i in range(2)]}})
+    rows.append({"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": "[main 0123abc] 1"}]}})
+    found = E.session_events(D.native(entries(spark, "s", rows)), cap=None).orderBy("event_index").collect()
+    assert [r.type for r in found] == ["user_directive"] * (E.EVENT_CAP + 1) + ["git_commit"] * 2 and not any(r.truncated for r in found)
+    assert [r.sha for r in found[-2:]] == [None, "0123abc"]
+
+
+def test_every_event_counts(spark, tmp_path):
+    from tidemark.plans import ORACLES, QUERIES
+
+    spark.range(0, 50 * 4200, 50).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["event_types"](spark, str(tmp_path)).select("session", "type", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["event_types"]).fetchall()) and sum(r.n for r in got) == 4200

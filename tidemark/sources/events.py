@@ -57,11 +57,11 @@ def block_events(b: Column, role: Column) -> Column:
     )
 
 
-def session_events(entries: DataFrame, cap: int = EVENT_CAP) -> DataFrame:
+def session_events(entries: DataFrame, cap: int | None = EVENT_CAP) -> DataFrame:
     """session (the entry's path), event_index, ts, type and attributes, truncated.
 
     Results come before the directive of the same entry. A return counts only after a dispatch of its id. A commit's sha is that of the first
-    result with text after it. At most cap events stay in a session; structural ones are exempt.
+    result with text after it. At most cap events stay in a session; structural ones are exempt. Without a cap all stay.
     """
     blocks = entries.select(F.col("path").alias("session"), "line_no", "pos", "role", "ts", F.posexplode("blocks").alias("block_pos", "b"))
     late = (F.col("b.type") == "text").cast("int")
@@ -72,12 +72,13 @@ def session_events(entries: DataFrame, cap: int = EVENT_CAP) -> DataFrame:
     known = Window.partitionBy("session", "tool_use_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     dispatched = F.coalesce(F.max((F.col("type") == "subagent_dispatch").cast("int")).over(known), F.lit(0)) == 1
     rows = rows.withColumn("_returned", F.when(F.col("type") == "subagent_return", dispatched & F.col("tool_use_id").isNotNull()).otherwise(True))
-    next_result = F.first(F.when((F.col("type") == "subagent_return") & (F.col("return_text_length") > 0), F.struct(F.col("sha").alias("sha"), F.struct(*order).alias("at"))), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    next_commit = F.first(F.when(F.col("type") == "git_commit", F.struct(*order)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    later = Window.partitionBy("session").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)  # linear, unlike a frame to the end
+    next_result = F.last(F.when((F.col("type") == "subagent_return") & (F.col("return_text_length") > 0), F.struct(F.col("sha").alias("sha"), F.struct(*order).alias("at"))), ignorenulls=True).over(later)
+    next_commit = F.last(F.when(F.col("type") == "git_commit", F.struct(*order)), ignorenulls=True).over(later)
     rows = rows.withColumn("_r", next_result).withColumn("_c", next_commit)
     patched = F.when((F.col("type") == "git_commit") & (F.col("_c").isNull() | (F.col("_r.at") < F.col("_c"))), F.col("_r.sha"))
     rows = rows.withColumn("sha", patched).filter("_returned").drop("_returned", "_r", "_c")
-    kept = capped(rows, ["session"], order, cap, F.col("type").isin(*STRUCTURAL))
+    kept = rows.withColumn("truncated", F.lit(False)) if cap is None else capped(rows, ["session"], order, cap, F.col("type").isin(*STRUCTURAL))
     return kept.withColumn("event_index", F.row_number().over(w) - 1).select("session", "event_index", "ts", "type", *ATTRS, "truncated")
 
 
