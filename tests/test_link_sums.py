@@ -10,7 +10,7 @@ from tidemark.operators import links as L
 from tidemark.plans import ORACLES, QUERIES
 
 T0 = dt.datetime(2024, 1, 1)
-NAMES = ["priority_link"]
+NAMES = ["greedy_assignment", "priority_link"]
 
 
 def at(s):
@@ -43,6 +43,14 @@ def test_equals_sql_on_crowded_rows(spark, crowded, name):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
 
 
+def test_counts_make_no_pairs(spark, crowded, monkeypatch):
+    seen, plain = [], L.overlap_pairs
+    monkeypatch.setattr(L, "overlap_pairs", lambda a, b, *rest: seen.append(a) or plain(a, b, *rest))
+    for name in NAMES[:1]:
+        QUERIES[name](spark, crowded[1])
+    assert sum(x.count() for x in seen) == 0  # only purchases that share an event_id are paired
+
+
 def test_pairs_are_not_shuffled(spark, crowded):
     df = QUERIES["priority_link"](spark, crowded[1])
     assert df.count() == df.select("event_id", "i_user", "island").distinct().count() > 900
