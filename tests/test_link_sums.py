@@ -10,13 +10,27 @@ from tidemark.operators import links as L
 from tidemark.plans import ORACLES, QUERIES
 
 T0 = dt.datetime(2024, 1, 1)
-NAMES = ["greedy_assignment", "priority_link"]
+NAMES = ["episode_confidence", "greedy_assignment", "priority_link"]
 
 
 def at(s):
     return T0 + dt.timedelta(seconds=s)
 
 
+def test_counts_and_earliest_near(spark):
+    draw = random.Random(3)
+    points = [(i, draw.randrange(2), at(draw.randrange(0, 40) * 1800)) for i in range(60)]
+    spans = [(i, draw.randrange(2), s, s + draw.choice([0, 1800, 9000, 50_000])) for i, s in enumerate(draw.randrange(0, 40) * 1800 for _ in range(40))]
+    p = spark.createDataFrame([*points, (99, 0, None)], "id int, k int, ts timestamp_ntz")
+    b = spark.createDataFrame([(i, k, at(s), at(e)) for i, k, s, e in spans], "b int, k int, b_start timestamp_ntz, b_end timestamp_ntz")
+    for slack in (0, 3600):
+        near = [(i, b, s) for i, k, t in points for b, k2, s, e in spans if k == k2 and at(s - slack) <= t <= at(e + slack)]
+        counts = {r.b: r.n for r in L.counts_within(p, b, ["k"], ["b"], slack, 7200).collect()}
+        assert counts == {x[0]: sum(y[1] == x[0] for y in near) for x in spans}
+        first = {r.id: r.first.b for r in L.earliest_near(p, b, ["k"], ["id"], ["b"], slack).collect()}
+        assert first == {i: min((s, b) for j, b, s in near if j == i)[1] for i in {x[0] for x in near}}
+
+
 @pytest.fixture(scope="module")
 def crowded(spark, tmp_path_factory):
     """Many users of one tenth at the same times; some purchases share an event_id, one has no time."""
@@ -46,7 +60,7 @@ def test_equals_sql_on_crowded_rows(spark, crowded, name):
 def test_counts_make_no_pairs(spark, crowded, monkeypatch):
     seen, plain = [], L.overlap_pairs
     monkeypatch.setattr(L, "overlap_pairs", lambda a, b, *rest: seen.append(a) or plain(a, b, *rest))
-    for name in NAMES[:1]:
+    for name in NAMES[:2]:
         QUERIES[name](spark, crowded[1])
     assert sum(x.count() for x in seen) == 0  # only purchases that share an event_id are paired
 

@@ -59,10 +59,15 @@ def scorable(texts: Names, arrays: Names, count: str) -> Column:
 
 def episode_confidence(groups: DataFrame, links: DataFrame, sessions: DataFrame, group: Names, session: Names) -> DataFrame:
     """kind (group or session), the key as text, confidence: the mean confidence of a group's links to two digits, a half without links, 0.3 for sessions that nothing links to."""
-    key = lambda names: F.concat_ws(":", *names).alias("key")
     mean = links.groupBy(*group).agg(F.avg(F.col("confidence").cast("decimal(18,9)")).alias("_c"))
-    found = groups.join(mean, list(group), "left").select(F.lit("group").alias("kind"), key(group), F.coalesce(F.round("_c", 2).cast("double"), F.lit(WITHOUT_LINKS)).alias("confidence"))
     lone = sessions.join(links.select(*session).distinct(), list(session), "left_anti")
+    return confidences(groups, mean.select(*group, F.round("_c", 2).cast("double").alias("confidence")), lone, group, session)
+
+
+def confidences(groups: DataFrame, means: DataFrame, lone: DataFrame, group: Names, session: Names) -> DataFrame:
+    """The rows of episode_confidence from the means themselves (group, confidence) and the sessions that nothing links to."""
+    key = lambda names: F.concat_ws(":", *names).alias("key")
+    found = groups.join(means, list(group), "left").select(F.lit("group").alias("kind"), key(group), F.coalesce("confidence", F.lit(WITHOUT_LINKS)).alias("confidence"))
     return found.unionAll(lone.select(F.lit("session").alias("kind"), key(session), F.lit(LONE)))
 
 

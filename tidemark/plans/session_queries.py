@@ -18,7 +18,7 @@ from ..operators import windows as W
 from ..session import table
 from ..sources import events as E
 from .event_queries import BY, ISLANDS, ORDER, events, kind
-from .link_queries import LINKS, island_rows, priority_links, purchases
+from .link_queries import LINKS, first_links, link_sides, link_sums, purchases
 from .registry import query
 
 
@@ -76,7 +76,10 @@ UNION ALL SELECT 'session', event_id::VARCHAR, 0.3 FROM p WHERE event_id NOT IN
 )
 def episode_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Mean confidence of the links of each island, and lone purchases."""
-    return S.episode_confidence(island_rows(spark, d, 7200), priority_links(spark, d), purchases(spark, d), ["i_user", "island"], ["event_id"])
+    p, il = link_sides(spark, d)
+    means = link_sums(p, il).select("i_user", "island", (F.expr("(2 * s + 10 * n) DIV (20 * n)") / 100.0).cast("double").alias("confidence"))
+    lone = p.join(first_links(p, il).select("event_id"), "event_id", "left_anti")
+    return S.confidences(il, means, lone, ["i_user", "island"], ["event_id"])
 
 
 TYPES = {"signup": "subagent_dispatch", "purchase": "subagent_return", "click": "git_commit", "error": "error_encountered", "view": "file_read"}
