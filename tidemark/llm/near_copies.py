@@ -9,12 +9,13 @@ what they propose is confirmed on the whole sets, so that no link is a guess.
 1. Every bucket is linked by chains of fingerprints within NEAR bits, fewer links than it has members; FIRST of each text's are confirmed.
    A bucket of more than BLOCK texts is dealt in blocks by hash, each with the bucket's least text.
 2. Buckets that still hold several components are gone through again: members outside the bucket's largest component are compared
-   with all of other components within FAR bits (five standard deviations). Such a pair goes on to be
-   confirmed only if at least AGREE of its ROWS * BANDS minima agree, by a byte of each (192 on average at 0.8, standard deviation six), and only from the
-   first of the buckets that it shares.
+   with all of other components within FAR bits (five standard deviations). Such a pair has to be
+   confirmed only if at least AGREE of its ROWS * BANDS minima agree, by a byte of each (192 on average at 0.8, standard deviation six), and only in the
+   first of the buckets that it shares. No pair leaves its bucket before that: the bucket names the texts that have one, their sets are
+   dealt to it, and there the same pairs are counted on the whole sets. What comes out are links that join components, fewer than a block has members.
 
-So a large group costs a pass of each member over its planes, and pairs only for members that the first pass leaves apart; none is capped.
-The sketches' miss is again below 1e-6 at 0.8 exactly.
+So a large group costs a pass of each member over its planes and a row for each of its buckets that asks for its set; the comparisons inside a
+block still grow with the square of its members that the first pass leaves apart. None is capped. The sketches' miss is again below 1e-6 at 0.8 exactly.
 
 Defined cases: words as for the fingerprints (bytes, A-Z folded, ASCII white space); a text of fewer words is
 one shingle; null, empty and white space only are equal to each other; equal sets are one node; rows that share a doc_id, null included, are
@@ -40,8 +41,8 @@ SHINGLE, SEED, ROWS, BANDS = 5, 42, 6, 40
 NEAR, FAR, BLOCK, FEW = 16, 26, 4096, 1_000_000
 #: Neighbours of a text that the first pass confirms.
 FIRST = 40
-#: Minima that have to agree for a pair to be confirmed on its whole sets.
-AGREE = 161
+#: Minima that have to agree for a pair to be confirmed on its whole sets; 8-byte words of sets and sketches that a side of a block may hold.
+AGREE, ROOM = 161, 1 << 21
 _draw = np.random.default_rng(11)
 FLIP = _draw.integers(0, 1 << 32, ROWS * BANDS, np.uint32)
 FACTOR = _draw.integers(0, 1 << 32, ROWS * BANDS, np.uint32) | np.uint32(1)
@@ -135,15 +136,19 @@ def blocks(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.nda
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def pair_rows(batches: Iterable[pa.RecordBatch], keys: int, find: Callable[..., Iterator[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-    """What find(columns of a block) gives, as rows a, b."""
-    out: list[tuple[int, int]] = []
+def block_rows(batches: Iterable[pa.RecordBatch], keys: int, find: Callable[..., Iterator[tuple[int, ...]]], names: str = "a b") -> Iterator[pa.RecordBatch]:
+    """What find(columns of a block) gives, as rows of longs so named."""
+    out: list[tuple[int, ...]] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(len(names.split()))], names=names.split())
+
     for block in blocks(batches, keys):
         out += find(*block)
         if len(out) > 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield batch()
             out = []
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    yield batch()
 
 
 def chains(nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -153,9 +158,11 @@ def chains(nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
         yield ids[near], ids[i]
 
 
-def strangers(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, asks: np.ndarray, band: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
-    """For members that ask, members of other components within FAR bits whose sketches agree, if this is the first bucket that both share."""
+def strangers(fps: np.ndarray, roots: np.ndarray, asks: np.ndarray, band: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places) for members that ask: members of other components within FAR bits whose sketches agree, if this is the first bucket that both share."""
     members, queries = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+    if not len(members):
+        return
     words, planes = fps.view("<u8").tolist(), Planes(fps[members].view("<u8").tolist())
     own: dict[int, int] = {}
     for i, r in enumerate(roots[members].tolist()):
@@ -167,8 +174,49 @@ def strangers(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, asks: np.nd
         if len(places):
             first = (met[places] == np.frombuffer(sketches[q][: 8 * BANDS], "<i8")).argmax(axis=1)
             agree = (least[places] == np.frombuffer(sketches[q][8 * BANDS :], np.uint8)).sum(axis=1)
-            for i in places[(agree >= AGREE) & (first == band[q])].tolist():
-                yield int(nodes[q]), int(nodes[members[i]])
+            if len(places := places[(agree >= AGREE) & (first == band[q])]):
+                yield q, members[places]
+
+
+def concerned(k: np.ndarray, block: np.ndarray, nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, asks: np.ndarray, band: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """k, block, node, root, asks, band of the members of a block that have a pair to be confirmed there."""
+    seen = np.zeros(len(nodes), bool)
+    for q, places in strangers(fps, roots, asks, band, sketches):
+        seen[q] = seen[places] = True
+    yield from zip(*(x[seen].tolist() for x in (k, block, nodes, roots, asks, band)), strict=True)
+
+
+def joins(similarity: float) -> Callable[..., Iterator[tuple[int, int]]]:
+    """For a block with its members' sets: pairs that strangers() gives and whose sets are so similar, as far as they join components of the block."""
+    share = int(round(similarity * 1000))
+
+    def find(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, asks: np.ndarray, band: np.ndarray, sketches: np.ndarray, sets: np.ndarray) -> Iterator[tuple[int, int]]:
+        up: dict[int, int] = {}
+
+        def joined(r: int) -> int:
+            while r in up:
+                r = up[r]
+            return r
+
+        members = np.flatnonzero(asks == 0)
+        if not len(members) or len(members) == len(nodes):
+            return
+        known, places = np.unique(np.concatenate(sets[members].tolist()), return_inverse=True)
+        ends = np.cumsum([len(sets[i]) for i in members.tolist()])
+        codes = dict(zip(members.tolist(), np.split(places.astype(np.int32), ends[:-1]), strict=True))
+        marked = np.zeros(len(known), bool)
+        for q, others in strangers(fps, roots, asks, band, sketches):
+            at = np.minimum(np.searchsorted(known, sets[q]), len(known) - 1)
+            at = at[known[at] == sets[q]]
+            marked[at] = True
+            for i in others.tolist():
+                a, b = joined(int(roots[q])), joined(int(roots[i]))
+                if a != b and (1000 + share) * int(np.count_nonzero(marked[codes[i]])) >= share * (len(sets[q]) + len(sets[i])):
+                    up[a] = b
+                    yield int(nodes[q]), int(nodes[i])
+            marked[at] = False
+
+    return find
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -182,14 +230,14 @@ def first_pairs(left: DataFrame, sizes: DataFrame, fps: DataFrame) -> DataFrame:
     several = sizes.filter(F.col("n") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
     shared = several.select("k", "block", F.col("least").alias("node")).join(fps, "node").select("k", "block", "node", "fp")
     dealt = rows.unionByName(shared).distinct().repartition("k", "block").sortWithinPartitions("k", "block")
-    met = dealt.mapInArrow(lambda batches: pair_rows(batches, 2, chains), "a long, b long")
+    met = dealt.mapInArrow(lambda batches: block_rows(batches, 2, chains), "a long, b long")
     # a node is reached once a bucket; of its at most BANDS neighbours a few are confirmed, and pass 2 looks at what they leave apart
     reached = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", "b").alias("h"), "a"))), 1, FIRST).alias("x"))
     return ordered(reached.select("b", F.explode("x.a").alias("a")))
 
 
-def other_pairs(left: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """Pass 2: pairs of nodes of one bucket that no links join yet. known: node, fp, sketch."""
+def other_links(left: DataFrame, roots: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pass 2: links of nodes of one bucket that no links join yet, confirmed in the bucket. known: node, fp, sketch; sets: node, shingles."""
     rest = left.join(roots, "node", "left").select("node", "k", "band", F.coalesce("root", "node").alias("root"))
     counts = rest.groupBy("k", "root").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("r"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("r > 1")
@@ -198,7 +246,20 @@ def other_pairs(left: DataFrame, roots: DataFrame, known: DataFrame) -> DataFram
     members = rows.select("k", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block"), "node", "fp", "root", F.lit(0).alias("asks"), "band", "sketch")
     asking = rows.filter("root <> major").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "node", "fp", "root", F.lit(1).alias("asks"), "band", "sketch")
     dealt = members.unionByName(asking).repartition("k", "block").sortWithinPartitions("k", "block")
-    return ordered(dealt.mapInArrow(lambda batches: pair_rows(batches, 2, strangers), "a long, b long"))
+    keyed = dealt.select("k", "block", F.col("k").alias("_k"), F.col("block").alias("_block"), "node", "fp", "root", "asks", "band", "sketch")
+    names = "k block node root asks band"
+    named = stored(keyed.mapInArrow(lambda batches: block_rows(batches, 2, concerned, names), ", ".join(f"{x} long" for x in names.split())), "concerned")
+
+    # each side of a block is dealt in parts of ROOM, and every part of those that ask meets every part of the members
+    size = F.col("size") + (8 + ROWS) * BANDS // 8
+    parts = [F.ceil(F.sum(F.when(F.col("asks") == i, size)) / ROOM).cast("int").alias(f"parts{i}") for i in (0, 1)]
+    room = named.join(sets.select("node", "size"), "node").groupBy("k", "block").agg(*parts)
+    part = [F.when(F.col("asks") == i, F.array(F.pmod(F.xxhash64("node"), f"parts{i}").cast("int"))).otherwise(F.sequence(F.lit(0), F.col(f"parts{i}") - 1)) for i in (0, 1)]
+    spread = named.join(room, ["k", "block"]).withColumn("x", F.explode(part[0])).withColumn("y", F.explode(part[1]))
+    whole = spread.join(known.select("node", "fp", "sketch"), "node").join(sets.select("node", "shingles"), "node")
+    met = whole.select("k", "block", "x", "y", "node", "fp", "root", "asks", "band", "sketch", "shingles").repartition("k", "block", "x", "y").sortWithinPartitions("k", "block", "x", "y")
+    find = joins(similarity)
+    return ordered(met.mapInArrow(lambda batches: block_rows(batches, 4, find), "a long, b long"))
 
 
 def links(docs: DataFrame, found: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -209,10 +270,10 @@ def links(docs: DataFrame, found: DataFrame, similarity: float = 0.8) -> DataFra
     nodes = left.select("node").distinct()
     one = F.min(F.struct("row", "fp", "sketch")).alias("x")
     known = stored(found.join(nodes, "node").groupBy("node").agg(one).select("node", "x.*"), "nodes")
-    fps, sets = known.select("node", "fp"), stored(shingle_sets(docs, known.select("node", "row")), "sets")
+    fps, sets = known.select("node", "fp"), stored(shingle_sets(docs, known.select("node", "row")).withColumn("size", F.size("shingles")), "sets")
     sizes = left.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("least"))
     first = stored(confirmed(first_pairs(left, sizes, fps), sets, similarity), "links")
-    second = stored(confirmed(other_pairs(left, components(first), known), sets, similarity), "links")
+    second = stored(other_links(left, components(first), known, sets, similarity), "links")
     roots = components(first.unionAll(second))
     for x in (left, sets, known):
         forget(x)
